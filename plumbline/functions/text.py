@@ -69,35 +69,28 @@ def module_name(relative_path: Column) -> Column:
     return F.when(F.size(named) == 0, F.lit("__init__")).otherwise(F.array_join(named, "."))
 
 
-def _split_hi(x: Column) -> Column:
-    scaled = x * F.lit(134217729.0)
-    return scaled - (scaled - x)
-
-
 def exact_round(x: Column, digits: int) -> Column:
     """Round a double half-to-even on its exact binary value.
 
     SQL ``round`` and ``bround`` work on the shortest decimal form, so 0.15
     becomes 0.2 although the stored number is below the midpoint. Here the
-    product with 2*10^digits is formed with its rounding error (a two-product),
-    which tells on which side of the midpoint the stored number lies.
+    product with 2*10^digits is formed together with its rounding error, which
+    tells on which side of the midpoint the stored number lies. (The factor has
+    few bits, so splitting ``x`` alone makes the partial products exact.)
     """
-    factor = float(2 * 10**digits)
-
-    def with_product(v: Column) -> Column:
-        x0, p = v["x"], v["p"]
-        hi = _split_hi(x0)
-        lo = x0 - hi
-        f_scaled = factor * 134217729.0
-        f_hi = f_scaled - (f_scaled - factor)
-        f_lo = factor - f_hi
-        err = lo * f_lo - (((p - hi * f_hi) - lo * f_hi) - hi * f_lo)
+    factor = F.lit(float(2 * 10**digits))
+
+    def rounded(v: Column) -> Column:
+        p = v["p"]
+        err = (v["x"] - v["hi"]) * factor - (p - v["hi"] * factor)
         is_mid = (p == F.rint(p)) & (F.abs(p) % 2 == 1)
         steps = (
             F.when(is_mid & (err > 0), (p + 1) / 2)
             .when(is_mid & (err < 0), (p - 1) / 2)
             .otherwise(F.rint(p / 2))
         )
-        return steps / F.lit(factor / 2)
+        return steps / F.lit(float(10**digits))
 
-    return let(F.struct(x.alias("x"), (x * F.lit(factor)).alias("p")), with_product)
+    wide = x * F.lit(134217729.0)
+    parts = F.struct(x.alias("x"), (wide - (wide - x)).alias("hi"), (x * factor).alias("p"))
+    return let(parts, rounded)
