@@ -41,21 +41,24 @@ def round_up(x: Column) -> Column:
 
 def base_score(vector: Column) -> Column:
     """Base score, NULL when a base metric is missing or unknown."""
-    scope = metric(vector, "S")
-    changed = scope == "C"
-    privileges = F.when(changed, _weight(metric(vector, "PR"), PRIVILEGES_CHANGED)).otherwise(
-        _weight(metric(vector, "PR"), PRIVILEGES_UNCHANGED)
-    )
-    inputs = F.struct(
-        changed.alias("changed"),
-        _weight(metric(vector, "AV"), ATTACK_VECTOR).alias("av"),
-        _weight(metric(vector, "AC"), ATTACK_COMPLEXITY).alias("ac"),
-        privileges.alias("pr"),
-        _weight(metric(vector, "UI"), USER_INTERACTION).alias("ui"),
-        _weight(metric(vector, "C"), IMPACT).alias("c"),
-        _weight(metric(vector, "I"), IMPACT).alias("i"),
-        _weight(metric(vector, "A"), IMPACT).alias("a"),
-    )
+    names = ("S", "AV", "AC", "PR", "UI", "C", "I", "A")
+    metrics = F.struct(*[metric(vector, n).alias(n) for n in names])
+
+    def weights(m: Column) -> Column:
+        changed = m["S"] == "C"
+        privileges = F.when(changed, _weight(m["PR"], PRIVILEGES_CHANGED)).otherwise(
+            _weight(m["PR"], PRIVILEGES_UNCHANGED)
+        )
+        return F.struct(
+            changed.alias("changed"),
+            _weight(m["AV"], ATTACK_VECTOR).alias("av"),
+            _weight(m["AC"], ATTACK_COMPLEXITY).alias("ac"),
+            privileges.alias("pr"),
+            _weight(m["UI"], USER_INTERACTION).alias("ui"),
+            _weight(m["C"], IMPACT).alias("c"),
+            _weight(m["I"], IMPACT).alias("i"),
+            _weight(m["A"], IMPACT).alias("a"),
+        )
 
     def score(m: Column) -> Column:
         iss = 1 - (1 - m["c"]) * (1 - m["i"]) * (1 - m["a"])
@@ -71,7 +74,7 @@ def base_score(vector: Column) -> Column:
             .otherwise(round_up(capped))
         )
 
-    return let(inputs, score)
+    return let(let(metrics, weights), score)
 
 
 def best_severity(severity: Column, prefer_scored: bool = False) -> Column:

@@ -36,8 +36,10 @@ def _groups(version: Column) -> Column:
     rewritten = F.regexp_replace(
         version, PEP440, "".join(f"{_MARK}${i}" for i in range(1, 11))
     )
-    valid = rewritten.startswith(_MARK) & ~version.contains(_MARK)
-    return F.when(valid, F.split(rewritten, _MARK, -1))
+    return let(
+        rewritten,
+        lambda r: F.when(r.startswith(_MARK) & ~version.contains(_MARK), F.split(r, _MARK, -1)),
+    )
 
 
 def _number(digits: Column) -> Column:

@@ -148,3 +148,65 @@ KEV = """
     SELECT 'CVE-2023-' || CAST(c_custkey AS STRING) AS cve, '2024-02-' || lpad(CAST(c_custkey % 28 + 1 AS STRING), 2, '0') AS date_added
     FROM {customer} WHERE c_custkey % 9 = 0
 """
+
+# ---------------------------------------------------------------------------
+# Source code. Every line item is a module of its order's project that treats
+# package ``l_partkey`` in one of six ways; two of three orders also have a
+# module ``shared`` that calls package ``o_custkey``.
+# ---------------------------------------------------------------------------
+_MODULE = "'m' || CAST(l_linenumber AS STRING) || '_' || CAST(l_partkey AS STRING) || '_' || CAST(l_suppkey AS STRING)"
+_PKG = "'pkg_' || CAST(l_partkey AS STRING)"
+_FN = "'fn' || CAST(l_suppkey % 9 AS STRING)"
+_ENTRY = "'entry' || CAST(l_suppkey % 4 AS STRING)"
+_NL = "chr(10)"
+SOURCES = f"""
+    SELECT CAST(l_orderkey AS STRING) AS project, {_MODULE} || '.py' AS path,
+      CASE l_partkey % 6
+        WHEN 0 THEN 'from ' || {_PKG} || ' import ' || {_FN} || {_NL} || 'def run():' || {_NL} || '    return ' || {_FN} || '(1)' || {_NL} || 'run()' || {_NL}
+        WHEN 1 THEN 'import ' || {_PKG} || ' as p' || {_NL} || 'class Job:' || {_NL} || '    def go(self):' || {_NL} || '        return self.step()' || {_NL}
+                    || '    def step(self):' || {_NL} || '        return p.' || {_ENTRY} || '()' || {_NL} || 'Job().go()' || {_NL}
+        WHEN 2 THEN 'import ' || {_PKG} || {_NL} || 'from shared import common' || {_NL} || 'def work():' || {_NL} || '    call = ' || {_PKG} || '.' || {_ENTRY} || {_NL}
+                    || '    return call()' || {_NL} || 'work()' || {_NL} || 'common()' || {_NL}
+        WHEN 3 THEN 'from ' || {_PKG} || ' import ' || {_FN} || {_NL} || 'def unused():' || {_NL} || '    return ' || {_FN} || '()' || {_NL}
+        WHEN 4 THEN 'def broken(:' || {_NL}
+        ELSE 'import importlib' || {_NL} || 'importlib.import_module("' || {_PKG} || '.sub")' || {_NL} END AS content
+    FROM {{lineitem}}
+    UNION ALL
+    SELECT CAST(o_orderkey AS STRING), 'shared.py',
+      'import pkg_' || CAST(o_custkey AS STRING) || ' as q' || {_NL} || 'def common():' || {_NL} || '    return q.fn' || CAST(o_orderkey % 9 AS STRING) || '()' || {_NL}
+    FROM {{orders}} WHERE o_orderkey % 3 <> 0
+"""
+
+# Sources of the installed packages: in one third the public entries lead to the
+# function fn<k % 9>, in one third they lead nowhere, the rest has no source.
+DEP_SOURCES = f"""
+    SELECT DISTINCT CAST(l_orderkey AS STRING) AS project, {_PKG} || '/__init__.py' AS path, 0 AS root_ix,
+      'def entry0():' || {_NL} || '    return inner()' || {_NL} || 'def entry1():' || {_NL} || '    return inner()' || {_NL}
+      || 'def entry2():' || {_NL} || '    return inner()' || {_NL} || 'def entry3():' || {_NL} || '    return inner()' || {_NL}
+      || CASE WHEN l_partkey % 3 = 0 THEN 'def inner():' || {_NL} || '    return fn' || CAST(l_partkey % 9 AS STRING) || '(0)' || {_NL} ELSE '' END
+      || CASE WHEN l_partkey % 7 = 0 THEN 'import os, base64' || {_NL} || 'os.system("id")' || {_NL} || 'exec(base64.b64decode("eA=="))' || {_NL}
+              WHEN l_partkey % 7 = 1 THEN 'import subprocess' || {_NL} || 'def setup():' || {_NL} || '    subprocess.run([])' || {_NL} ELSE '' END AS content
+    FROM {{lineitem}} WHERE l_partkey % 3 < 2
+"""
+
+TRACE = """
+    SELECT CAST(l_orderkey AS STRING) AS project, 'mod' || CAST(l_suppkey % 5 AS STRING) AS module, 'fn' || CAST(l_linenumber AS STRING) AS func
+    FROM {lineitem} WHERE l_returnflag = 'R'
+"""
+
+# Within a project a package depends on the one of the next line.
+DEPENDS = """
+    SELECT DISTINCT CAST(a.l_orderkey AS STRING) AS project, 'pkg-' || CAST(a.l_partkey AS STRING) AS src, 'pkg-' || CAST(b.l_partkey AS STRING) AS dst
+    FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
+    WHERE a.l_quantity > 25
+"""
+
+# A cyclic graph per supplier with hubs, for closures without a source tree.
+HUB_EDGES = """
+    SELECT l_suppkey AS project, CAST(l_partkey % 211 AS STRING) AS src,
+           CASE WHEN l_linenumber = 1 THEN '7' ELSE CAST(l_orderkey % 211 AS STRING) END AS dst
+    FROM {lineitem} WHERE l_quantity <= 20
+"""
+HUB_SEEDS = """
+    SELECT l_suppkey AS project, CAST(l_partkey % 211 AS STRING) AS node FROM {lineitem} WHERE l_quantity = 50 AND l_linenumber = 2
+"""

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # Settings that hold for any size of cluster. Partition counts are left to the
 # deployment (or to AQE coalescing); only the local helper below pins them.
@@ -48,12 +49,19 @@ def scratch_dir(spark: SparkSession) -> str:
     return made
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back.
+def materialize_counted(df: DataFrame, tag: str) -> tuple[DataFrame, int]:
+    """Write ``df`` to the shared scratch folder, read it back, count its rows.
 
     Unlike a cached block, the written table outlives a lost executor, and the
-    planner sees its true size when it picks a join strategy.
+    planner sees its true size when it picks a join strategy. The count is taken
+    while writing, without a second pass.
     """
     path = f"{scratch_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["rows"]
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """As ``materialize_counted``, without the count."""
+    return materialize_counted(df, tag)[0]

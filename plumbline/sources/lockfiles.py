@@ -12,6 +12,7 @@ import tomllib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from plumbline.functions.identity import purl, pypi_name
 from plumbline.functions.text import let
@@ -47,7 +48,7 @@ PYPROJECT = """
 """
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def toml_to_json(texts: pd.Series) -> pd.Series:
     def convert(text: str) -> str | None:
         try:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 FACT_COLUMNS = (
@@ -147,19 +147,22 @@ def file_facts(source: str) -> list[dict]:
 
 def source_facts(files: DataFrame, *carry: str) -> DataFrame:
     """Facts of all ``files`` (needs ``content``), with the ``carry`` columns."""
-    names = [part.split()[0] for part in FACT_COLUMNS.split(", ")]
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.select(*carry).schema)
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
+    fields = [(f.name, kinds[f.dataType.simpleString()]) for f in files.select(*carry).schema]
+    fields += [(part.split()[0], kinds[part.split()[1]]) for part in FACT_COLUMNS.split(", ")]
+    shape = pa.schema(fields)
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                found = file_facts(row.content or "")
-                if found:
-                    out = pd.DataFrame(found, columns=names)
-                    for column in ("owner_ix", "level", "line", "end_line", "ix"):
-                        out[column] = out[column].astype("Int32")
-                    for column in carry:
-                        out[column] = getattr(row, column)
-                    yield out[[*carry, *names]]
-
-    return files.select(*carry, "content").mapInPandas(extract, f"{kept}, {FACT_COLUMNS}")
+            rows: list[dict] = []
+            for record in batch.to_pylist():
+                source = record.pop("content") or ""
+                rows.extend({**record, **fact} for fact in file_facts(source))
+                if len(rows) > 20_000:
+                    yield pa.RecordBatch.from_pylist(rows, schema=shape)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=shape)
+
+    return files.select(*carry, "content").mapInArrow(extract, f"{kept}, {FACT_COLUMNS}")
