@@ -103,8 +103,12 @@ class _Facts(ast.NodeVisitor):
 
 def _import_rows(tree: ast.AST, facts: _Facts) -> None:
     bound: dict[str, str] = {}
+    attributes = []
     for node in ast.walk(tree):
-        if isinstance(node, ast.Import):
+        if isinstance(node, ast.Attribute):
+            if isinstance(node.value, ast.Name):
+                attributes.append((node.value.id, node.attr))
+        elif isinstance(node, ast.Import):
             for item in node.names:
                 top = item.name.split(".")[0]
                 bound[item.asname or top] = top
@@ -115,11 +119,7 @@ def _import_rows(tree: ast.AST, facts: _Facts) -> None:
             for item in node.names:
                 if item.name != "*":
                     facts.add("use", base=top, name=item.name)
-    used = {
-        (bound[n.value.id], n.attr)
-        for n in ast.walk(tree)
-        if isinstance(n, ast.Attribute) and isinstance(n.value, ast.Name) and n.value.id in bound
-    }
+    used = {(bound[name], attr) for name, attr in attributes if name in bound}
     for top, attr in sorted(used):
         facts.add("attr", base=top, name=attr)
     for node in ast.iter_child_nodes(tree):

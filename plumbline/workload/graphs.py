@@ -23,8 +23,8 @@ VERDICT = ["project", "name", "version", "vuln_id"]
 
 def _spread(texts: DataFrame) -> DataFrame:
     """The test tables are one small file each, hence one split; spread the
-    texts so that all cores parse them."""
-    return texts.repartition("project", "path")
+    texts so that all cores parse them (a fixed number is not coalesced away)."""
+    return texts.repartition(texts.sparkSession.sparkContext.defaultParallelism * 2, "project", "path")
 
 
 def _sources(spark, sf):
@@ -175,6 +175,7 @@ SELECT project, dist, count(*) AS symbols FROM everything GROUP BY project, dist
 
 def package_reachability(spark: SparkSession, sf: str) -> DataFrame:
     packages, edges = _packages(spark, sf)
+    packages = materialize(packages, "packages")
     facts = materialize(_sources(spark, sf)[1], "facts")
     uses = reachability.import_uses(facts)
     analysed = facts.where("kind = 'file'").select("project")
@@ -195,6 +196,7 @@ PACKAGE_REACHABILITY = f"WITH RECURSIVE {PACKAGES_CTE}, {SOURCE_CTE}, {STATUS_CT
 
 def _verdict_inputs(spark, sf):
     packages, edges = _packages(spark, sf)
+    packages = materialize(packages, "packages")
     carried = packages.select("project", "ecosystem", "name", "version")
     hits = matching.attach_hits(carried, matching.match_versions(carried, matching.advisory_index(c.advisories(spark, sf))))
     files, facts = _sources(spark, sf)
@@ -204,7 +206,8 @@ def _verdict_inputs(spark, sf):
     status = reachability.package_status(packages, edges, uses, analysed)
     reached = materialize(callgraph.reached_symbols(*callgraph.call_graph(facts, files)), "reached")
     used = uses.where("symbol is not null").select("project", F.col("dist").alias("name"), "symbol").distinct()
-    found = reachability.refine_functions(hits.join(status, ["project", "name"]), used, reached, analysed)
+    hits = materialize(hits.join(status, ["project", "name"]), "hits")
+    found = materialize(reachability.refine_functions(hits, used, reached, analysed), "functions")
     return packages, found, reached
 
 
@@ -252,7 +255,7 @@ def _deep(spark, sf):
     deps = materialize(_dep_facts(spark, sf), "depfacts")
     located = locate_dependencies(packages, deps.where("kind = 'file'"))
     edges, nodes = name_graph(deps, located)
-    return reachability.refine_deep(found, reached, edges, nodes, located)
+    return materialize(reachability.refine_deep(found, reached, edges, nodes, located), "deep")
 
 
 def deep_refine(spark: SparkSession, sf: str) -> DataFrame:
@@ -356,7 +359,7 @@ def run_scan(spark: SparkSession, sf: str) -> ScanResult:
     files, facts = _sources(spark, sf)
     evidence = SourceEvidence(files, facts, _dep_facts(spark, sf), derived.run(spark, sf, derived.TRACE))
     return scan(
-        materialize(packages, "packages"), edges, matching.advisory_index(advisories),
+        packages, edges, matching.advisory_index(advisories),
         advisory_facts(advisories, enrichment), popular(spark, sf), evidence,
     )
 
