@@ -17,9 +17,11 @@ IMPACT = {"H": 0.56, "L": 0.22, "N": 0.0}
 
 
 def metric(vector: Column, name: str) -> Column:
-    """Value of one metric; the last occurrence counts, NULL when absent."""
-    found = F.regexp_extract(F.upper(strip(vector)), f"(?s)^(?:.*/)?{name}:([^/]*)", 1)
-    return F.when(found != "", found)
+    """Value of one metric of an upper-case vector; the last occurrence counts.
+
+    An absent metric is the empty text.
+    """
+    return F.regexp_extract(vector, f"(?s)^(?:.*/)?{name}:([^/]*)", 1)
 
 
 def _weight(value: Column, table: dict[str, float]) -> Column:
@@ -42,10 +44,10 @@ def round_up(x: Column) -> Column:
 def base_score(vector: Column) -> Column:
     """Base score, NULL when a base metric is missing or unknown."""
     names = ("S", "AV", "AC", "PR", "UI", "C", "I", "A")
-    metrics = F.struct(*[metric(vector, n).alias(n) for n in names])
+    metrics = let(F.upper(strip(vector)), lambda v: F.struct(*[metric(v, n).alias(n) for n in names]))
 
     def weights(m: Column) -> Column:
-        changed = m["S"] == "C"
+        changed = F.when(m["S"] != "", m["S"] == "C")
         privileges = F.when(changed, _weight(m["PR"], PRIVILEGES_CHANGED)).otherwise(
             _weight(m["PR"], PRIVILEGES_UNCHANGED)
         )

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import exact_round, let
+from plumbline.functions.text import exact_round
 
 # Weights and thresholds of the published formula.
 CONFIDENCE_WEIGHT = {"lockfile": 1.0, "pinned": 0.9, "constrained": 0.55, "imported": 0.3}
@@ -72,97 +72,98 @@ def _factor_map(*entries: Column) -> Column:
     return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull()))
 
 
-def vulnerability_risk(
+def _staged(df: DataFrame, *stages: dict[str, Column]) -> DataFrame:
+    """Add columns stage by stage. Each formula is then computed once and used as
+    a column by the next stage, all inside generated code."""
+    for columns in stages:
+        df = df.withColumns(columns)
+    return df
+
+
+def with_vulnerability_risk(
+    df: DataFrame,
     cvss: Column,
     epss: Column,
     kev: Column,
-    conf_weight: Column,
+    confidence: Column,
     status: Column,
     dynamic: Column,
     symbol_hit: Column,
     deep: Column,
     proven_unreachable: Column,
     fn_not_reached: Column,
-) -> Column:
-    """Struct ``value, band, raw_value, factors`` for a known vulnerability.
+) -> DataFrame:
+    """Add ``risk``: struct ``value, band, raw_value, factors``.
 
     A zero or missing CVSS score counts as neutral. A known-exploited match never
     falls below MEDIUM; the floor moves the band, not the value.
     """
-    inputs = F.struct(
-        F.when(cvss.isNull() | (cvss == 0), F.lit(NEUTRAL_SEVERITY))
-        .otherwise(cvss / 10.0)
-        .alias("severity"),
-        F.coalesce(epss, F.lit(0.0)).alias("epss"),
-        F.greatest(
-            F.coalesce(epss, F.lit(0.0)), F.when(kev, F.lit(KEV_THREAT)).otherwise(F.lit(0.0))
-        ).alias("threat"),
-        exposure(status, dynamic, symbol_hit, proven_unreachable, fn_not_reached).alias("exposure"),
-        conf_weight.alias("conf"),
+    c = F.col
+    no_hit = ~dynamic & ~symbol_hit
+    scored = _staged(
+        df,
+        {
+            "_severity": F.when(cvss.isNull() | (cvss == 0), F.lit(NEUTRAL_SEVERITY)).otherwise(cvss / 10.0),
+            "_epss": F.coalesce(epss, F.lit(0.0)),
+            "_exposure": exposure(status, dynamic, symbol_hit, proven_unreachable, fn_not_reached),
+            "_conf": confidence_weight(confidence),
+        },
+        {"_threat": F.greatest(c("_epss"), F.when(kev, F.lit(KEV_THREAT)).otherwise(F.lit(0.0)))},
+        {"_hazard": c("_severity") * (0.7 + 0.3 * c("_threat"))},
+        {"_raw": F.lit(100.0) * c("_hazard") * c("_exposure")},
+        {"_value": c("_raw") * c("_conf")},
+        {"_band": band(c("_value"))},
+        {"_lifted": kev & c("_band").isin("INFO", "LOW")},
+    )
+    factors = _factor_map(
+        _factor("severity", exact_round(c("_severity"), 4)),
+        _factor("threat", exact_round(c("_threat"), 4)),
+        _factor("epss", exact_round(c("_epss"), 4)),
+        _factor("kev", F.when(kev, F.lit(1.0)).otherwise(F.lit(0.0))),
+        _factor("exposure", c("_exposure")),
+        _factor("confidence", c("_conf")),
+        _factor("hazard", exact_round(c("_hazard"), 4)),
+        _flag("dynamic_trace_confirmed", dynamic),
+        _flag("symbol_reached", dynamic | symbol_hit),
+        _flag("cross_package_path", ~dynamic & symbol_hit & deep),
+        _flag("proven_sink_unreachable", no_hit & proven_unreachable),
+        _flag("affected_fn_not_reached", no_hit & ~proven_unreachable & fn_not_reached),
+        _flag("kev_floor_applied", c("_lifted")),
     )
+    risk = F.struct(
+        exact_round(c("_value"), 1).alias("value"),
+        F.when(c("_lifted"), F.lit("MEDIUM")).otherwise(c("_band")).alias("band"),
+        exact_round(c("_raw"), 1).alias("raw_value"),
+        factors.alias("factors"),
+    )
+    return scored.select(*df.columns, risk.alias("risk"))
+
 
-    def finish(i: Column) -> Column:
-        return let(
-            F.struct(
-                *[i[n].alias(n) for n in ("severity", "epss", "threat", "exposure", "conf")],
-                (i["severity"] * (0.7 + 0.3 * i["threat"])).alias("hazard"),
-            ),
-            score,
-        )
-
-    def score(i: Column) -> Column:
-        raw = F.lit(100.0) * i["hazard"] * i["exposure"]
-        value = raw * i["conf"]
-        plain = band(value)
-        lifted = kev & plain.isin("INFO", "LOW")
-        no_hit = ~dynamic & ~symbol_hit
-        factors = _factor_map(
-            _factor("severity", exact_round(i["severity"], 4)),
-            _factor("threat", exact_round(i["threat"], 4)),
-            _factor("epss", exact_round(i["epss"], 4)),
-            _factor("kev", F.when(kev, F.lit(1.0)).otherwise(F.lit(0.0))),
-            _factor("exposure", exact_round(i["exposure"], 4)),
-            _factor("confidence", exact_round(i["conf"], 4)),
-            _factor("hazard", exact_round(i["hazard"], 4)),
-            _flag("dynamic_trace_confirmed", dynamic),
-            _flag("symbol_reached", dynamic | symbol_hit),
-            _flag("cross_package_path", ~dynamic & symbol_hit & deep),
-            _flag("proven_sink_unreachable", no_hit & proven_unreachable),
-            _flag("affected_fn_not_reached", no_hit & ~proven_unreachable & fn_not_reached),
-            _flag("kev_floor_applied", lifted),
-        )
-        return F.struct(
-            exact_round(value, 1).alias("value"),
-            F.when(lifted, F.lit("MEDIUM")).otherwise(plain).alias("band"),
-            exact_round(raw, 1).alias("raw_value"),
-            factors.alias("factors"),
-        )
-
-    return let(inputs, finish)
-
-
-def supply_chain_risk(severity: Column, conf_weight: Column, status: Column) -> Column:
-    """Struct ``value, band, raw_value, factors`` for a supply-chain signal.
+def with_supply_chain_risk(df: DataFrame, severity: Column, confidence: Column, status: Column) -> DataFrame:
+    """Add ``risk`` for a supply-chain signal.
 
     What a project declares it installs, so exposure has a floor.
     """
-    exposed = F.greatest(_lookup(status, EXPOSURE), F.lit(SUPPLY_CHAIN_EXPOSURE))
-
-    def score(i: Column) -> Column:
-        raw = F.lit(100.0) * i["severity"] * i["exposure"]
-        value = raw * i["conf"]
-        return F.struct(
-            exact_round(value, 1).alias("value"),
-            band(value).alias("band"),
-            exact_round(raw, 1).alias("raw_value"),
-            _factor_map(
-                _factor("severity", exact_round(i["severity"], 4)),
-                _factor("exposure", exact_round(i["exposure"], 4)),
-                _factor("confidence", exact_round(i["conf"], 4)),
-            ).alias("factors"),
-        )
-
-    return let(
-        F.struct(severity.alias("severity"), exposed.alias("exposure"), conf_weight.alias("conf")),
-        score,
+    c = F.col
+    scored = _staged(
+        df,
+        {
+            "_severity": severity,
+            "_exposure": F.greatest(_lookup(status, EXPOSURE), F.lit(SUPPLY_CHAIN_EXPOSURE)),
+            "_conf": confidence_weight(confidence),
+        },
+        {"_raw": F.lit(100.0) * c("_severity") * c("_exposure")},
+        {"_value": c("_raw") * c("_conf")},
+    )
+    factors = _factor_map(
+        _factor("severity", exact_round(c("_severity"), 4)),
+        _factor("exposure", c("_exposure")),
+        _factor("confidence", c("_conf")),
+    )
+    risk = F.struct(
+        exact_round(c("_value"), 1).alias("value"),
+        band(c("_value")).alias("band"),
+        exact_round(c("_raw"), 1).alias("raw_value"),
+        factors.alias("factors"),
     )
+    return scored.select(*df.columns, risk.alias("risk"))

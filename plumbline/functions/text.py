@@ -76,21 +76,18 @@ def exact_round(x: Column, digits: int) -> Column:
     becomes 0.2 although the stored number is below the midpoint. Here the
     product with 2*10^digits is formed together with its rounding error, which
     tells on which side of the midpoint the stored number lies. (The factor has
-    few bits, so splitting ``x`` alone makes the partial products exact.)
+    few bits, so splitting ``x`` alone makes the partial products exact.) Only
+    midpoints take that detour.
     """
     factor = F.lit(float(2 * 10**digits))
 
-    def rounded(v: Column) -> Column:
-        p = v["p"]
-        err = (v["x"] - v["hi"]) * factor - (p - v["hi"] * factor)
-        is_mid = (p == F.rint(p)) & (F.abs(p) % 2 == 1)
-        steps = (
-            F.when(is_mid & (err > 0), (p + 1) / 2)
-            .when(is_mid & (err < 0), (p - 1) / 2)
-            .otherwise(F.rint(p / 2))
-        )
-        return steps / F.lit(float(10**digits))
-
-    wide = x * F.lit(134217729.0)
-    parts = F.struct(x.alias("x"), (wide - (wide - x)).alias("hi"), (x * factor).alias("p"))
-    return let(parts, rounded)
+    def at_midpoint(v: Column) -> Column:
+        wide = v["x"] * F.lit(134217729.0)
+        hi = wide - (wide - v["x"])
+        err = (v["x"] - hi) * factor - (v["p"] - hi * factor)
+        half = v["p"] / 2
+        return F.when(err > 0, half + 0.5).when(err < 0, half - 0.5).otherwise(F.rint(half))
+
+    p = x * factor
+    detour = let(F.struct(x.alias("x"), p.alias("p")), at_midpoint)
+    return F.when(F.abs(p % 2) == 1, detour).otherwise(F.rint(p / 2)) / F.lit(float(10**digits))

@@ -159,6 +159,7 @@ _PKG = "'pkg_' || CAST(l_partkey AS STRING)"
 _FN = "'fn' || CAST(l_suppkey % 9 AS STRING)"
 _ENTRY = "'entry' || CAST(l_suppkey % 4 AS STRING)"
 _NL = "chr(10)"
+_SHAPE = "CAST(floor(l_partkey / 6) AS INT) % 3"
 SOURCES = f"""
     SELECT CAST(l_orderkey AS STRING) AS project, {_MODULE} || '.py' AS path,
       CASE l_partkey % 6
@@ -183,10 +184,10 @@ DEP_SOURCES = f"""
     SELECT DISTINCT CAST(l_orderkey AS STRING) AS project, {_PKG} || '/__init__.py' AS path, 0 AS root_ix,
       'def entry0():' || {_NL} || '    return inner()' || {_NL} || 'def entry1():' || {_NL} || '    return inner()' || {_NL}
       || 'def entry2():' || {_NL} || '    return inner()' || {_NL} || 'def entry3():' || {_NL} || '    return inner()' || {_NL}
-      || CASE WHEN l_partkey % 3 = 0 THEN 'def inner():' || {_NL} || '    return fn' || CAST(l_partkey % 9 AS STRING) || '(0)' || {_NL} ELSE '' END
+      || CASE WHEN {_SHAPE} = 0 THEN 'def inner():' || {_NL} || '    return fn' || CAST(l_partkey % 9 AS STRING) || '(0)' || {_NL} ELSE '' END
       || CASE WHEN l_partkey % 7 = 0 THEN 'import os, base64' || {_NL} || 'os.system("id")' || {_NL} || 'exec(base64.b64decode("eA=="))' || {_NL}
               WHEN l_partkey % 7 = 1 THEN 'import subprocess' || {_NL} || 'def setup():' || {_NL} || '    subprocess.run([])' || {_NL} ELSE '' END AS content
-    FROM {{lineitem}} WHERE l_partkey % 3 < 2
+    FROM {{lineitem}} WHERE {_SHAPE} < 2
 """
 
 TRACE = """

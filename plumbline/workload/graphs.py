@@ -264,8 +264,8 @@ def deep_refine(spark: SparkSession, sf: str) -> DataFrame:
 
 DEEP_CTE = """
 ent AS (SELECT project, dist AS name, min(symbol) AS entry, arg_min(path, symbol) AS entry_path FROM reached WHERE symbol LIKE 'entry%' GROUP BY 1, 2),
-dp1 AS (SELECT fn.*, not_reached AND NOT symbol_hit AND pkg % 3 < 2 AS looked, e.entry, e.entry_path,
-          not_reached AND NOT symbol_hit AND pkg % 3 = 0 AND e.entry IS NOT NULL AND list_contains(leaves, 'fn' || CAST(pkg % 9 AS VARCHAR)) AS deep
+dp1 AS (SELECT fn.*, not_reached AND NOT symbol_hit AND (pkg // 6) % 3 < 2 AS looked, e.entry, e.entry_path,
+          not_reached AND NOT symbol_hit AND (pkg // 6) % 3 = 0 AND e.entry IS NOT NULL AND list_contains(leaves, 'fn' || CAST(pkg % 9 AS VARCHAR)) AS deep
         FROM fn LEFT JOIN ent e ON e.project = fn.project AND e.name = fn.name),
 dp AS (SELECT * EXCLUDE (symbol_hit, not_reached, call_path, analysis), symbol_hit OR deep AS symbol_hit, not_reached AND NOT looked AS not_reached,
          CASE WHEN deep THEN list_concat(entry_path, ['↘ ' || name || ' internals', name || '.inner', name || '.fn' || CAST(pkg % 9 AS VARCHAR)]) ELSE call_path END AS call_path,
@@ -320,7 +320,7 @@ BEHAVIOUR_CTE = """
 bh AS (SELECT project, name, 'malicious-behavior' AS signal, 'Suspicious AST patterns detected: ' || CASE l_partkey % 7
     WHEN 0 THEN 'base64 decoding (possible payload obfuscation) in __init__.py, os.system call in __init__.py, usage of exec() in __init__.py'
     ELSE 'subprocess execution (subprocess.run) in __init__.py' END AS detail, 0.95::DOUBLE AS severity
-  FROM pk WHERE direct AND l_partkey % 7 < 2 AND l_partkey % 3 < 2)
+  FROM pk WHERE direct AND l_partkey % 7 < 2 AND (l_partkey // 6) % 3 < 2)
 """
 BEHAVIOUR_SIGNALS = f"WITH {PACKAGES_CTE}, {BEHAVIOUR_CTE} SELECT * FROM bh"
 

@@ -60,14 +60,8 @@ FROM {{lineitem}}
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     r = derived.run(spark, sf, _RISK_INPUTS)
-    flag = lambda n: F.col(n)
-    return r.withColumn(
-        "risk",
-        risk.vulnerability_risk(
-            flag("cvss"), flag("epss"), flag("kev"), risk.confidence_weight(flag("confidence")), flag("status"),
-            flag("dynamic"), flag("symbol_hit"), flag("deep"), flag("proven"), flag("not_reached"),
-        ),
-    )
+    names = ("cvss", "epss", "kev", "confidence", "status", "dynamic", "symbol_hit", "deep", "proven", "not_reached")
+    return risk.with_vulnerability_risk(r, *[F.col(n) for n in names])
 
 
 def risk_score(spark: SparkSession, sf: str) -> DataFrame:
@@ -112,9 +106,9 @@ FROM ({_RISK_STEP3})
 def supply_chain_risk(spark: SparkSession, sf: str) -> DataFrame:
     r = derived.run(spark, sf, _RISK_INPUTS)
     severity = F.when(F.col("l_partkey") % 3 == 0, 0.9).when(F.col("l_partkey") % 3 == 1, 0.55).otherwise(0.95)
-    scored = risk.supply_chain_risk(severity, risk.confidence_weight(F.col("confidence")), F.col("status"))
-    return r.withColumn("r", scored).select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "r.value", "r.band", "r.raw_value"
+    scored = risk.with_supply_chain_risk(r, severity, F.col("confidence"), F.col("status"))
+    return scored.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "risk.value", "risk.band", "risk.raw_value"
     )
 
 
