@@ -17,6 +17,7 @@ from plumbline.session import materialize
 from plumbline.sources.files import is_directory, path_exists, read_whole_files, under_any_dir
 from plumbline.sources.manifests import Resolution, read_project_files, resolve
 from plumbline.sources.pyfacts import source_facts
+from plumbline.sources.tree import read_tree
 from plumbline.store import AdvisoryStore
 
 # Where a project keeps its installed dependencies.
@@ -61,8 +62,8 @@ def read_code(spark: SparkSession, root: str, target: str, many: bool) -> tuple[
     project: installed packages lie in well-known folders, vendored and build
     folders hold no first-party code.
     """
-    files = read_whole_files(spark, root, "*.py", recursive=True)
-    inner = F.substring("path", F.lit(len(root) + 2), F.length("path"))
+    files = read_tree(spark, root)
+    inner = F.col("path")
     if many:
         project, path = F.substring_index(inner, "/", 1), F.regexp_replace(inner, "^[^/]*/", "")
         files = files.where(inner.contains("/"))
@@ -78,15 +79,13 @@ def read_code(spark: SparkSession, root: str, target: str, many: bool) -> tuple[
     return placed.where(~under_any_dir(F.col("path"), VENDOR_DIRS)), dependency
 
 
-def read_dependency_roots(spark: SparkSession, roots: list[str], projects: DataFrame) -> DataFrame | None:
-    """Files of explicitly named dependency roots, offered to every project."""
+def read_dependency_roots(spark: SparkSession, roots: list[str], project: str) -> DataFrame | None:
+    """Files of explicitly named dependency roots of one project."""
     found = None
     for i, root in enumerate(r.rstrip("/") for r in roots if path_exists(spark, r)):
-        part = read_whole_files(spark, root, "*.py", recursive=True).select(
-            F.lit(f"0:{i:05d}").alias("root_ix"), F.substring("path", F.lit(len(root) + 2), F.length("path")).alias("path"), "content"
-        )
+        part = read_tree(spark, root).select(F.lit(project).alias("project"), F.lit(f"0:{i:05d}").alias("root_ix"), "path", "content")
         found = part if found is None else found.unionByName(part)
-    return None if found is None else projects.select("project").distinct().join(found.withColumn("all", F.lit(1)), F.lit(1) == F.col("all")).drop("all")
+    return found
 
 
 def scan_target(
@@ -106,6 +105,8 @@ def scan_target(
     off: GIT ranges taking part in version matching, and an unscored CVSS v4
     entry hiding a scored v3 one.
     """
+    if many and (deps_paths or trace_path):
+        raise ValueError("dependency roots and traces belong to one project; name them without many=True")
     target = target.rstrip("/")
     is_dir = is_directory(spark, target)
     root = target if is_dir else target.rpartition("/")[0]
@@ -113,13 +114,11 @@ def scan_target(
     resolution.packages = materialize(resolution.packages, "resolved")
     resolution.edges = materialize(resolution.edges, "edges")
     own, installed = read_code(spark, root, target, many)
-    projects = resolution.packages.select("project").distinct()
-    named = read_dependency_roots(spark, deps_paths or [], projects)
+    named = read_dependency_roots(spark, deps_paths or [], target)
     dep_files = installed if named is None else named.unionByName(installed)
     trace = None
     if trace_path and path_exists(spark, trace_path):
-        calls = load_trace(read_whole_files(spark, trace_path)).withColumn("all", F.lit(1))
-        trace = projects.join(calls, F.lit(1) == F.col("all")).drop("all")
+        trace = load_trace(read_whole_files(spark, trace_path)).withColumn("project", F.lit(target))
     evidence = SourceEvidence(
         files=own, facts=source_facts(own, "project", "path"), dep_facts=source_facts(dep_files, "project", "root_ix", "path"), trace=trace
     )

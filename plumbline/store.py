@@ -14,6 +14,7 @@ from plumbline.session import materialize
 from plumbline.sources import advisories as feeds
 from plumbline.sources.files import is_directory, path_exists, read_whole_files
 from plumbline.sources.pyfacts import source_facts
+from plumbline.sources.tree import read_tree
 
 EMPTY = {
     "mined": "vuln_id string, ecosystem string, name string, symbol string, qualified string, source string",
@@ -80,11 +81,7 @@ class AdvisoryStore:
         )
         spans = None
         if source_root:
-            root = source_root.rstrip("/")
-            sources = read_whole_files(self.spark, root, "*.py", recursive=True).withColumn(
-                "path", F.substring("path", F.lit(len(root) + 2), F.length("path"))
-            )
-            spans = source_facts(sources, "path").where("kind in ('def', 'class')")
+            spans = source_facts(read_tree(self.spark, source_root), "path").where("kind in ('def', 'class')")
         mined = mining.mine_patches(known, spans)
         return self.add_mined(mined, source)
 
