@@ -103,6 +103,11 @@ def _base(g: Column) -> Column:
     return F.when(has_epoch, F.concat(plain(g[EPOCH]), F.lit("!"), release)).otherwise(release)
 
 
+def is_version(version: Column) -> Column:
+    """Is the text a valid version (false for NULL)?"""
+    return F.coalesce(version.rlike(PEP440), F.lit(False))
+
+
 def version_key(version: Column) -> Column:
     """Sortable key of a version, NULL when the text is not a valid version."""
     return let(_groups(version), lambda g: F.when(g.isNotNull(), _key(g)))

@@ -16,7 +16,7 @@ from pyspark.sql.types import StringType
 
 from plumbline.functions.identity import purl, pypi_name
 from plumbline.functions.text import let
-from plumbline.functions.versions import version_key
+from plumbline.functions.versions import is_version
 from plumbline.sources.requirements import parse_requirement
 
 PACKAGE_COLUMNS = [
@@ -76,7 +76,7 @@ def _packages(rows: DataFrame, raw_name: Column, version: Column, hashes: Column
         eco.alias("ecosystem"),
         pypi_name(raw).alias("name"),
         raw.alias("raw_name"),
-        F.when(version_key(version).isNotNull(), version).alias("version"),
+        F.when(is_version(version), version).alias("version"),
         purl(eco, pypi_name(raw), version).alias("purl"),
         direct.alias("direct"),
         F.lit("lockfile").alias("confidence"),
