@@ -38,10 +38,9 @@ PDM = """
     package ARRAY<STRUCT<name: STRING, version: STRING, files: ARRAY<STRUCT<hash: STRING>>,
                          dependencies: ARRAY<STRING>>>
 """
-PIPFILE = """
-    `default` MAP<STRING, STRUCT<version: STRING, hashes: ARRAY<STRING>>>,
-    develop MAP<STRING, STRUCT<version: STRING, hashes: ARRAY<STRING>>>
-"""
+# Entries stay text at first, so that one malformed entry cannot spoil the rest.
+PIPFILE = "`default` MAP<STRING, STRING>, develop MAP<STRING, STRING>"
+PIPFILE_ENTRY = "version STRING, hashes ARRAY<STRING>"
 PYPROJECT = """
     project STRUCT<dependencies: ARRAY<STRING>>,
     tool STRUCT<poetry: STRUCT<dependencies: MAP<STRING, STRING>>>
@@ -129,7 +128,7 @@ def pipfile_packages(files: DataFrame) -> DataFrame:
     doc = files.select("project", "path", F.from_json("json", PIPFILE).alias("d"))
     kind = lambda section, direct: let(
         F.coalesce(F.map_entries(F.col("d")[section]), F.array()),
-        lambda entries: F.transform(entries, lambda e: F.struct(e["key"].alias("name"), e["value"].alias("spec"), F.lit(direct).alias("direct"))),
+        lambda entries: F.transform(entries, lambda e: F.struct(e["key"].alias("name"), F.from_json(e["value"], PIPFILE_ENTRY).alias("spec"), F.lit(direct).alias("direct"))),
     )
     rows = doc.select("project", "path", F.posexplode(F.concat(kind("default", True), kind("develop", False))).alias("pos", "p"))
     version = F.nullif(F.ltrim(F.coalesce(F.col("p.spec.version"), F.lit("")), F.lit("=")), F.lit(""))
