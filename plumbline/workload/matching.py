@@ -72,10 +72,10 @@ FROM ({c.INSTALLS_SQL})
 def version_extremes(spark: SparkSession, sf: str) -> DataFrame:
     coords = c.installs(spark, sf).select("name", "version").distinct()
     keyed = coords.withColumn("k", versions.version_key(F.col("version")))
-    return keyed.groupBy("name").agg(
-        F.min_by("version", F.struct("k", "version")).alias("oldest"),
-        F.max_by("version", F.struct("k", "version")).alias("newest"),
-        F.count_distinct("k").alias("n_versions"),
+    # Equal versions in different spellings fall together first.
+    distinct = keyed.groupBy("name", "k").agg(F.min("version").alias("first"), F.max("version").alias("last"))
+    return distinct.groupBy("name").agg(
+        F.min_by("first", "k").alias("oldest"), F.max_by("last", "k").alias("newest"), F.count("*").alias("n_versions")
     )
 
 
