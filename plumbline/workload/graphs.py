@@ -198,7 +198,8 @@ def _verdict_inputs(spark, sf):
     packages, edges = _packages(spark, sf)
     packages = materialize(packages, "packages")
     carried = packages.select("project", "ecosystem", "name", "version")
-    hits = matching.attach_hits(carried, matching.match_versions(carried, matching.advisory_index(c.advisories(spark, sf))))
+    index = materialize(matching.advisory_index(c.advisories(spark, sf)), "index")
+    hits = matching.attach_hits(carried, matching.match_versions(carried, index))
     files, facts = _sources(spark, sf)
     facts = materialize(facts, "facts")
     uses = materialize(reachability.import_uses(facts), "uses")

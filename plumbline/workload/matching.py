@@ -13,6 +13,7 @@ from plumbline.operators.enrichment import enrich
 from plumbline.operators.mining import replace_mined
 from plumbline.plans import derived
 from plumbline.plans.digest import parallel_digest
+from plumbline.session import materialize
 from plumbline.sources.manifests import manifest_rank, merge_packages, most_trusted
 from plumbline.workload import common as c
 
@@ -96,6 +97,8 @@ def _hits(spark: SparkSession, sf: str, drop: str | None = None) -> DataFrame:
     index = matching.advisory_index(c.advisories(spark, sf))
     if drop:
         index = _without(index, drop)
+    # Written, the index has a known size when the join is planned.
+    index = materialize(index, "index")
     return matching.attach_hits(i, matching.match_versions(i, index))
 
 
@@ -136,7 +139,8 @@ FROM {_JOINED} WHERE {c.IN_RANGE} OR coalesce(version = listed, false)
 def fixed_versions(spark: SparkSession, sf: str) -> DataFrame:
     """Per package and installed version: all newer fixes of its advisories."""
     i = c.installs(spark, sf)
-    hits = matching.match_versions(i, matching.advisory_index(c.advisories(spark, sf)))
+    index = materialize(matching.advisory_index(c.advisories(spark, sf)), "index")
+    hits = matching.match_versions(i, index)
     fixes = hits.select("name", "version", F.explode("fixed_versions").alias("fix")).distinct()
     keyed = fixes.withColumn("k", versions.version_key(F.col("fix")))
     return keyed.groupBy("name", "version").agg(
