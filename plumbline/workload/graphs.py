@@ -38,7 +38,7 @@ def _dep_facts(spark, sf):
 
 def _packages(spark, sf):
     """Resolved packages and edges of all projects."""
-    rows = c.installs(spark, sf).withColumn("load_order", F.struct("l_linenumber", "l_suppkey", "l_partkey"))
+    rows = c.installs(spark, sf).withColumn("load_order", F.struct("l_linenumber", "l_suppkey", "l_partkey", "version"))
     values = ["project", "ecosystem", "name", "version", "direct", "confidence", "source", "load_order"]
     packages = merge_packages(rows.select(*values)).withColumn("purl", F.concat(F.lit("pkg:pypi/"), "name", F.lit("@"), "version"))
     edges = derived.run(spark, sf, derived.DEPENDS)
@@ -87,9 +87,8 @@ def dependency_roots(spark: SparkSession, sf: str) -> DataFrame:
 
 
 PACKAGES_CTE = f"""
-p0 AS (SELECT project, name, min([l_linenumber, l_suppkey, l_partkey]) AS o FROM ({c.INSTALLS_SQL}) GROUP BY project, name),
-p1 AS (SELECT i.* FROM ({c.INSTALLS_SQL}) i JOIN p0 ON p0.project = i.project AND p0.name = i.name
-       AND p0.o = [i.l_linenumber, i.l_suppkey, i.l_partkey]),
+p1 AS (SELECT * FROM ({c.INSTALLS_SQL})
+       QUALIFY row_number() OVER (PARTITION BY project, name ORDER BY l_linenumber, l_suppkey, l_partkey, version) = 1),
 dep AS (SELECT * FROM ({derived.portable(derived.DEPENDS)})),
 pk AS (SELECT p1.* EXCLUDE (direct), direct OR (bool_or(direct) OVER (PARTITION BY p1.project) = false
          AND NOT EXISTS (SELECT 1 FROM dep WHERE dep.project = p1.project AND dep.dst = p1.name)) AS direct FROM p1)
