@@ -142,7 +142,7 @@ def best_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.
 def pack_groups(pieces: DataFrame, size: int) -> DataFrame:
     """Packs each ``part`` on its own; adds ``bin, offset, used, bound`` (bins used, bins needed at least)."""
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "uid"], ascending=[False, True], kind="stable", ignore_index=True)
         lengths = group["length"].to_numpy()
         bins, offsets, n = best_fit_decreasing(lengths, size)

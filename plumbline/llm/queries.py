@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.embedding_dedup import near_duplicate_vectors
 from plumbline.llm.langid import identify
 from plumbline.llm.line_dedup import line_dedup
+from plumbline.llm.mixing import mixing_rates
 from plumbline.llm.order_minhash import near_duplicates
 from plumbline.llm.packing import pack
+from plumbline.llm.pii import pseudonymise
 from plumbline.llm.suffix_repeats import repetition
 from plumbline.llm.toxicity import toxicity
 from plumbline.llm.unigram_count import token_counts
 
+KEY = "a key that each deployment replaces"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,6 +37,27 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents"), KEY).select("doc_id", "pii_found", "text")
+
+
+def tempered(shares: dict[str, float], power: float = 0.7) -> dict[str, float]:
+    """Shares raised to a power under 1, which lifts small domains."""
+    raised = {d: s**power for d, s in shares.items()}
+    return {d: s / sum(raised.values()) for d, s in raised.items()}
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labelled = docs.select("doc_id", F.col("lang").alias("domain")).join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    done = mixing_rates(docs, labelled, tempered)
+    return done.select("doc_id", "mix_tokens", "mix_posteriors", "mix_rate", "mix_copies")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -61,9 +87,19 @@ def op10_unigram_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), piece_model)
 
 
-QUERIES = {f.__name__: f for f in (op4_language_id, op5_toxicity, op6_order_minhash, op7_packing, op8_suffix_repeats, op9_line_dedup, op10_unigram_count)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_pii_pseudonyms, op3_mixing, op4_language_id, op5_toxicity, op6_order_minhash, op7_packing, op8_suffix_repeats, op9_line_dedup, op10_unigram_count)}
 
 ORACLES = {
+    # Every pair by brute force, then components by spreading the smallest id.
+    "op1_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+     ok AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+     links AS (SELECT a.vec_id AS s, b.vec_id AS d FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+     reach AS (SELECT s, d FROM links UNION SELECT r.s, l.d FROM reach r JOIN links l ON l.s = r.d),
+     low AS (SELECT s, min(d) AS d FROM reach GROUP BY s)
+SELECT v.vec_id, (SELECT count(*) FROM links l WHERE l.s = v.vec_id) AS n_links,
+       least(v.vec_id, coalesce(low.d, v.vec_id)) AS component_id, v.vec_id <= coalesce(low.d, v.vec_id) AS kept
+FROM v LEFT JOIN low ON low.s = v.vec_id""",
     # Exact counts of sites; the first place of a boilerplate line stays. Equal rows (id and text) are one document.
     "op9_line_dedup": """
 WITH docs AS (SELECT doc_id, text, coalesce(source, '') AS site, md5(concat_ws(chr(10), coalesce(CAST(doc_id AS VARCHAR), ''), text)) AS k FROM documents),
