@@ -164,14 +164,14 @@ def mixing_rates(
 
         def step(columns: list) -> dict:
             return {
-                "mix_key": columns[0],
+                "__mix_key": columns[0],
                 "tokens": [float(len(t.split())) for t in columns[1]],
                 "posteriors": [domain_model.posteriors(t) for t in columns[1]],
             }
 
         return step
 
-    facts = scratch.table(map_rows(docs.select(key.alias("k"), text.alias("t")), make, "mix_key binary, tokens double, posteriors array<double>"), "facts")
+    facts = scratch.table(map_rows(docs.select(key.alias("k"), text.alias("t")), make, "__mix_key binary, tokens double, posteriors array<double>"), "facts")
     n = len(model.domains)
     now = totals_of(facts, n, np.zeros((0, n)), stay, 1.0)
     whole = now.sum()
@@ -198,7 +198,7 @@ def mixing_rates(
             shares = np.array(columns[2], float).reshape(len(tokens), n)
             found = np.where(tokens > 0, descend(tokens, shares, steps, stay, rate), 1.0)
             return {
-                "mix_key": columns[0],
+                "__mix_key": columns[0],
                 "mix_tokens": [int(t) for t in tokens],
                 "mix_posteriors": [dict(zip(model.domains, row.tolist())) for row in shares],
                 "mix_rate": found.tolist(),
@@ -206,9 +206,9 @@ def mixing_rates(
 
         return step
 
-    rated = map_rows(facts, rates, "mix_key binary, mix_tokens long, mix_posteriors map<string,double>, mix_rate double").dropDuplicates(["mix_key"])
-    joined = docs.join(rated, key == F.col("mix_key"))
+    rated = map_rows(facts, rates, "__mix_key binary, mix_tokens long, mix_posteriors map<string,double>, mix_rate double").dropDuplicates(["__mix_key"])
+    joined = docs.join(rated, key == F.col("__mix_key"))
     # A hair over a whole number is rounding noise, not a chance of one more copy.
     spare = F.col("mix_rate") - F.floor(F.col("mix_rate") + 1e-9)
-    copies = (F.floor(F.col("mix_rate") + 1e-9) + (unit_hash(F.lit(17), "mix_key") < spare).cast("int")).cast("int")
+    copies = (F.floor(F.col("mix_rate") + 1e-9) + (unit_hash(F.lit(17), "__mix_key") < spare).cast("int")).cast("int")
     return joined.select(*[docs[c] for c in docs.columns], "mix_tokens", "mix_posteriors", "mix_rate", copies.alias("mix_copies"))
