@@ -37,37 +37,40 @@ def header_symbols(hunks: DataFrame, *keys: str) -> DataFrame:
     return hunks.select(*keys, "file_ix", found.alias("symbol")).where("symbol <> ''").distinct()
 
 
-def mine_patches(patches: DataFrame, spans: DataFrame | None = None, key: str = "advisory") -> DataFrame:
-    """``key, path, qualified, short, method`` for every patched Python symbol.
+def mine_patches(patches: DataFrame, spans: DataFrame | None = None, keys: tuple[str, ...] = ("advisory",)) -> DataFrame:
+    """``keys, path, qualified, short, method`` for every patched Python symbol.
+
+    ``keys`` tell patch texts apart: an advisory with several patches needs the
+    patch among them, because lines are numbered within one text.
 
     With ``spans`` (``path, line, end_line, owner`` of post-image sources) added
     lines are mapped to their innermost definition; a file for which that gives
     nothing falls back to the hunk headers.
     """
-    lines = diff_lines(patches, key)
-    files = diff_files(lines, key).where("is_python").withColumn("path", F.coalesce("new_path", "old_path"))
-    by_header = header_symbols(diff_hunks(lines, key), key).join(files.select(key, "file_ix", "path"), [key, "file_ix"])
-    header_rows = by_header.select(key, "file_ix", "path", "symbol", F.lit("hunk-header").alias("method"))
+    lines = diff_lines(patches, *keys)
+    files = diff_files(lines, *keys).where("is_python").withColumn("path", F.coalesce("new_path", "old_path"))
+    by_header = header_symbols(diff_hunks(lines, *keys), *keys).join(files.select(*keys, "file_ix", "path"), [*keys, "file_ix"])
+    header_rows = by_header.select(*keys, "file_ix", "path", "symbol", F.lit("hunk-header").alias("method"))
     if spans is None:
         found = header_rows
     else:
-        offered = files.select(key, "file_ix", "path", F.posexplode(path_suffixes(F.col("path"))).alias("n", "source_path"))
+        offered = files.select(*keys, "file_ix", "path", F.posexplode(path_suffixes(F.col("path"))).alias("n", "source_path"))
         have = spans.select(F.col("path").alias("source_path")).distinct()
         chosen = (
             offered.join(have, "source_path", "left_semi")
-            .groupBy(key, "file_ix", "path")
+            .groupBy(*keys, "file_ix", "path")
             .agg(F.min_by("source_path", "n").alias("source_path"))
         )
-        added = diff_changes(lines, key).where("side = 'added'")
-        asked = added.join(chosen, [key, "file_ix"]).select("source_path", "lineno", key, "file_ix", "path")
+        added = diff_changes(lines, *keys).where("side = 'added'")
+        asked = added.join(chosen, [*keys, "file_ix"]).select("source_path", "lineno", *keys, "file_ix", "path")
         hit = innermost_spans(asked, spans.withColumnRenamed("path", "source_path"), "source_path")
         ast_rows = (
             asked.join(hit, ["source_path", "lineno"])
-            .select(key, "file_ix", "path", "symbol", F.lit("ast").alias("method"))
+            .select(*keys, "file_ix", "path", "symbol", F.lit("ast").alias("method"))
             .distinct()
         )
-        found = ast_rows.unionByName(header_rows.join(ast_rows.select(key, "file_ix").distinct(), [key, "file_ix"], "left_anti"))
-    return found.select(key, "path", F.col("symbol").alias("qualified"), leaf(F.col("symbol")).alias("short"), "method").distinct()
+        found = ast_rows.unionByName(header_rows.join(ast_rows.select(*keys, "file_ix").distinct(), [*keys, "file_ix"], "left_anti"))
+    return found.select(*keys, "path", F.col("symbol").alias("qualified"), leaf(F.col("symbol")).alias("short"), "method").distinct()
 
 
 def mined_symbols(mined: DataFrame, index: DataFrame, source: str = "seed-patch") -> DataFrame:

@@ -129,30 +129,32 @@ OSV_TEXT = f"""
 """
 
 # Threat intelligence for the CVE ids above, as rows of a feed file: some numbers
-# are missing or broken, and some CVEs are listed again further down.
+# are missing or broken, some CVEs are listed again further down, and some lines
+# are about CVEs that no advisory names.
 EPSS = """
     SELECT cve, line, '0.' || lpad(CAST(k * 7 % 1000 AS STRING), 3, '0') AS percentile,
            CASE WHEN k % 13 = 0 THEN 'n/a' WHEN k % 17 = 0 THEN '' ELSE '0.' || lpad(CAST(k % 1000 AS STRING), 3, '0') END AS epss
     FROM (
-      SELECT 'CVE-2024-' || CAST(o_orderkey AS STRING) AS cve, o_orderkey AS k, o_orderkey AS line
-      FROM {orders} WHERE o_orderkey % 4 <> 3
+      SELECT CASE WHEN o_orderkey % 4 = 3 THEN 'CVE-2019-' ELSE 'CVE-2024-' END || CAST(o_orderkey AS STRING) AS cve, o_orderkey AS k, o_orderkey AS line
+      FROM {orders}
       UNION ALL
-      SELECT 'cve-2023-' || CAST(c_custkey AS STRING), c_custkey, c_custkey
-      FROM {customer} WHERE c_custkey % 5 <> 4
+      SELECT CASE WHEN c_custkey % 5 = 4 THEN 'cve-2018-' ELSE 'cve-2023-' END || CAST(c_custkey AS STRING), c_custkey, c_custkey
+      FROM {customer}
       UNION ALL
-      SELECT 'CVE-2024-' || CAST(o_orderkey AS STRING), o_orderkey + 501, o_orderkey + 1000000000000
-      FROM {orders} WHERE o_orderkey % 10 = 0
+      SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'CVE-2024-' ELSE 'CVE-2017-' END || CAST(o_orderkey AS STRING), o_orderkey + 501, o_orderkey + 1000000000000
+      FROM {orders}
     ) f
 """
 KEV = """
-    SELECT 'CVE-2023-' || CAST(c_custkey AS STRING) AS cve, '2024-02-' || lpad(CAST(c_custkey % 28 + 1 AS STRING), 2, '0') AS date_added
-    FROM {customer} WHERE c_custkey % 9 = 0
+    SELECT CASE WHEN c_custkey % 9 = 0 THEN 'CVE-2023-' ELSE 'CVE-2016-' END || CAST(c_custkey AS STRING) AS cve,
+           '2024-02-' || lpad(CAST(c_custkey % 28 + 1 AS STRING), 2, '0') AS date_added
+    FROM {customer}
 """
 
 # ---------------------------------------------------------------------------
 # Source code. Every line item is a module of its order's project that treats
 # package ``l_partkey`` in one of six ways; two of three orders also have a
-# module ``shared`` that calls package ``o_custkey``.
+# module ``shared`` that calls package ``o_custkey``, the others one that calls nothing.
 # ---------------------------------------------------------------------------
 _MODULE = "'m' || CAST(l_linenumber AS STRING) || '_' || CAST(l_partkey AS STRING) || '_' || CAST(l_suppkey AS STRING)"
 _PKG = "'pkg_' || CAST(l_partkey AS STRING)"
@@ -173,41 +175,42 @@ SOURCES = f"""
         ELSE 'import importlib' || {_NL} || 'importlib.import_module("' || {_PKG} || '.sub")' || {_NL} END AS content
     FROM {{lineitem}}
     UNION ALL
-    SELECT CAST(o_orderkey AS STRING), 'shared.py',
-      'import pkg_' || CAST(o_custkey AS STRING) || ' as q' || {_NL} || 'def common():' || {_NL} || '    return q.fn' || CAST(o_orderkey % 9 AS STRING) || '()' || {_NL}
-    FROM {{orders}} WHERE o_orderkey % 3 <> 0
+    SELECT CAST(o_orderkey AS STRING), CASE WHEN o_orderkey % 3 = 0 THEN 'other.py' ELSE 'shared.py' END,
+      CASE WHEN o_orderkey % 3 = 0 THEN 'x = 1' || {_NL} ELSE
+      'import pkg_' || CAST(o_custkey AS STRING) || ' as q' || {_NL} || 'def common():' || {_NL} || '    return q.fn' || CAST(o_orderkey % 9 AS STRING) || '()' || {_NL} END
+    FROM {{orders}}
 """
 
 # Sources of the installed packages: in one third the public entries lead to the
-# function fn<k % 9>, in one third they lead nowhere, the rest has no source.
+# function fn<k % 9>, in one third they lead nowhere; for the rest only a folder of another name is there.
 DEP_SOURCES = f"""
-    SELECT DISTINCT CAST(l_orderkey AS STRING) AS project, {_PKG} || '/__init__.py' AS path, 0 AS root_ix,
-      'def entry0():' || {_NL} || '    return inner()' || {_NL} || 'def entry1():' || {_NL} || '    return inner()' || {_NL}
+    SELECT DISTINCT CAST(l_orderkey AS STRING) AS project, CASE WHEN {_SHAPE} = 2 THEN 'stub_' ELSE '' END || {_PKG} || '/__init__.py' AS path, 0 AS root_ix,
+      CASE WHEN {_SHAPE} = 2 THEN 'x = 1' || {_NL} ELSE 'def entry0():' || {_NL} || '    return inner()' || {_NL} || 'def entry1():' || {_NL} || '    return inner()' || {_NL}
       || 'def entry2():' || {_NL} || '    return inner()' || {_NL} || 'def entry3():' || {_NL} || '    return inner()' || {_NL}
       || CASE WHEN {_SHAPE} = 0 THEN 'def inner():' || {_NL} || '    return fn' || CAST(l_partkey % 9 AS STRING) || '(0)' || {_NL} ELSE '' END
       || CASE WHEN l_partkey % 7 = 0 THEN 'import os, base64' || {_NL} || 'os.system("id")' || {_NL} || 'exec(base64.b64decode("eA=="))' || {_NL}
-              WHEN l_partkey % 7 = 1 THEN 'import subprocess' || {_NL} || 'def setup():' || {_NL} || '    subprocess.run([])' || {_NL} ELSE '' END AS content
-    FROM {{lineitem}} WHERE {_SHAPE} < 2
+              WHEN l_partkey % 7 = 1 THEN 'import subprocess' || {_NL} || 'def setup():' || {_NL} || '    subprocess.run([])' || {_NL} ELSE '' END END AS content
+    FROM {{lineitem}}
 """
 
 TRACE = """
     SELECT CAST(l_orderkey AS STRING) AS project, 'mod' || CAST(l_suppkey % 5 AS STRING) AS module, 'fn' || CAST(l_linenumber AS STRING) AS func
-    FROM {lineitem} WHERE l_returnflag = 'R'
+    FROM {lineitem}
 """
 
 # Within a project a package depends on the one of the next line.
 DEPENDS = """
     SELECT DISTINCT CAST(a.l_orderkey AS STRING) AS project, 'pkg-' || CAST(a.l_partkey AS STRING) AS src, 'pkg-' || CAST(b.l_partkey AS STRING) AS dst
     FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
-    WHERE a.l_quantity > 25
 """
 
-# A cyclic graph per supplier with hubs, for closures without a source tree.
+# A cyclic graph with hubs for each kind of line: parts that follow each other in
+# an order, and back to part 7 from every first line. Walks start at the least part.
 HUB_EDGES = """
-    SELECT l_suppkey AS project, CAST(l_partkey % 211 AS STRING) AS src,
-           CASE WHEN l_linenumber = 1 THEN '7' ELSE CAST(l_orderkey % 211 AS STRING) END AS dst
-    FROM {lineitem} WHERE l_quantity <= 20
+    SELECT a.l_returnflag || a.l_linestatus AS project, CAST(a.l_partkey AS STRING) AS src,
+           CASE WHEN a.l_linenumber = 1 THEN '7' ELSE CAST(coalesce(b.l_partkey, a.l_suppkey) AS STRING) END AS dst
+    FROM {lineitem} a LEFT JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
 """
 HUB_SEEDS = """
-    SELECT l_suppkey AS project, CAST(l_partkey % 211 AS STRING) AS node FROM {lineitem} WHERE l_quantity = 50 AND l_linenumber = 2
+    SELECT l_returnflag || l_linestatus AS project, CAST(min(l_partkey) AS STRING) AS node FROM {lineitem} GROUP BY l_returnflag || l_linestatus
 """

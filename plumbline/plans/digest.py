@@ -2,15 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Up to this many records the sequential digest is used. It streams two short
-# columns in id order; beyond the bound the parallel digest takes over.
-SEQUENTIAL_LIMIT = 2_000_000
-
 
 def record_digest(*columns: str):
     """SHA-256 over the JSON of a row's columns."""
@@ -34,18 +28,10 @@ def parallel_digest(rows: DataFrame, *columns: str, keys: list[str] | None = Non
 
 
 def snapshot_hash(records: DataFrame) -> str:
-    """Content hash of an advisory set: SHA-256 over id and modified in id order.
+    """Content hash of an advisory set: the digest of the bag of (id, modified).
 
-    That hash is sequential by nature. It is streamed partition by partition,
-    one partition's ids at a time, and only up to ``SEQUENTIAL_LIMIT`` records;
-    larger sets get the parallel digest of the same two columns.
+    One definition for every size, so that a snapshot keeps its hash family as it
+    grows, and no row passes through the driver.
     """
     pairs = records.select("id", F.coalesce("modified", F.lit("")).alias("modified"))
-    size = parallel_digest(pairs, "id", "modified").first()
-    if size.records > SEQUENTIAL_LIMIT:
-        return "sha256-bag:" + size.digest[:32]
-    digest = hashlib.sha256()
-    for row in pairs.orderBy("id", "modified").toLocalIterator():
-        digest.update(row.id.encode())
-        digest.update(row.modified.encode())
-    return "sha256:" + digest.hexdigest()[:32]
+    return "sha256:" + parallel_digest(pairs, "id", "modified").first().digest[:32]

@@ -15,7 +15,7 @@ from plumbline.report import cyclonedx, json_report, sarif, terminal, vex
 from plumbline.report.manifest import ScanFacts, manifests
 from plumbline.session import materialize
 from plumbline.sources.files import is_directory, path_exists, read_whole_files, under_any_dir
-from plumbline.sources.manifests import Resolution, read_project_files, resolve
+from plumbline.sources.manifests import Resolution, read_project_files, resolve, scanned_projects
 from plumbline.sources.pyfacts import source_facts
 from plumbline.sources.tree import read_tree
 from plumbline.store import AdvisoryStore
@@ -35,7 +35,7 @@ class ProjectScan:
     facts: ScanFacts
 
     def manifests(self) -> DataFrame:
-        return manifests(self.result.counts(), self.facts, self.resolution.used, self.resolution.warnings)
+        return manifests(self.result.counts(self.resolution.projects), self.facts, self.resolution.used, self.resolution.warnings)
 
     def render(self, kind: str, min_risk: float = 0.0, explain: bool = False, colour: bool = False) -> DataFrame:
         """The report as an ordered table of fragments; counts are those of the
@@ -69,12 +69,12 @@ def read_code(spark: SparkSession, root: str, target: str, many: bool) -> tuple[
         files = files.where(inner.contains("/"))
     else:
         project, path = F.lit(target), inner
-    placed = files.select(project.alias("project"), path.alias("path"), "content")
+    placed = files.select(project.alias("project"), path.alias("path"), "content", "error")
     folder = F.regexp_extract("path", SITE_PACKAGES, 0)
     # The order of the roots: virtual environments, then PEP 582 folders.
     order = F.when(folder.startswith(".venv"), "1").when(folder.startswith("venv"), "2").when(folder.startswith("env"), "3").otherwise("4")
     dependency = placed.where(folder != "").select(
-        "project", F.concat(order, F.lit(":"), folder).alias("root_ix"), F.regexp_replace("path", SITE_PACKAGES, "").alias("path"), "content"
+        "project", F.concat(order, F.lit(":"), folder).alias("root_ix"), F.regexp_replace("path", SITE_PACKAGES, "").alias("path"), "content", "error"
     )
     return placed.where(~under_any_dir(F.col("path"), VENDOR_DIRS)), dependency
 
@@ -83,11 +83,25 @@ def read_dependency_roots(spark: SparkSession, roots: list[str], project: str) -
     """Files of explicitly named dependency roots of one project."""
     found = None
     for i, root in enumerate(r.rstrip("/") for r in roots if path_exists(spark, r)):
-        part = read_tree(spark, root).select(F.lit(project).alias("project"), F.lit(f"0:{i:05d}").alias("root_ix"), "path", "content")
+        part = read_tree(spark, root).select(F.lit(project).alias("project"), F.lit(f"0:{i:05d}").alias("root_ix"), "path", "content", "error")
         found = part if found is None else found.unionByName(part)
     return found
 
 
+def facts_or_errors(files: DataFrame, *carry: str) -> DataFrame:
+    """Facts of the files; one that could not be read is an ``unparsed`` row with the error."""
+    facts = source_facts(files.where("error is null"), *carry)
+    failed = files.where("error is not null").select(*carry, F.lit("unparsed").alias("kind"), F.col("error").alias("name"))
+    return facts.unionByName(failed, allowMissingColumns=True)
+
+
+def source_warnings(facts: DataFrame) -> DataFrame:
+    """``project, message``: one line for each reason, with the number of files and the first of them."""
+    bad = facts.where("kind = 'unparsed'").groupBy("project", "name").agg(F.count_distinct("path").alias("n"), F.min("path").alias("first"))
+    said = F.concat(F.col("n").cast("string"), F.lit(" source files could not be used ("), "name", F.lit("), first "), "first")
+    return bad.select("project", said.alias("message"))
+
+
 def scan_target(
     spark: SparkSession,
     store: AdvisoryStore,
@@ -110,7 +124,7 @@ def scan_target(
     target = target.rstrip("/")
     is_dir = is_directory(spark, target)
     root = target if is_dir else target.rpartition("/")[0]
-    resolution = resolve(read_project_files(spark, target, is_dir, many))
+    resolution = resolve(read_project_files(spark, target, is_dir, many), scanned_projects(spark, root if is_dir else target, many))
     resolution.packages = materialize(resolution.packages, "resolved")
     resolution.edges = materialize(resolution.edges, "edges")
     own, installed = read_code(spark, root, target, many)
@@ -119,9 +133,12 @@ def scan_target(
     trace = None
     if trace_path and path_exists(spark, trace_path):
         trace = load_trace(read_whole_files(spark, trace_path)).withColumn("project", F.lit(target))
-    evidence = SourceEvidence(
-        files=own, facts=source_facts(own, "project", "path"), dep_facts=source_facts(dep_files, "project", "root_ix", "path"), trace=trace
-    )
+    # Read and parsed once: the written facts have a row for every file, also for those that are no valid Python.
+    own_facts = materialize(facts_or_errors(own, "project", "path"), "ownfacts")
+    dep_facts = materialize(facts_or_errors(dep_files, "project", "root_ix", "path"), "depfacts")
+    files = own_facts.where("kind in ('file', 'unparsed')").select("project", "path").distinct()
+    resolution.warnings = resolution.warnings.unionByName(source_warnings(own_facts)).unionByName(source_warnings(dep_facts))
+    evidence = SourceEvidence(files=files, facts=own_facts.where("kind <> 'unparsed'"), dep_facts=dep_facts.where("kind <> 'unparsed'"), trace=trace)
     result = scan(
         resolution.packages, resolution.edges, store.index(any_range_type),
         advisory_facts(store.advisories, store.enrichment(), prefer_scored), popular_names(spark, popular_path), evidence,

@@ -95,7 +95,7 @@ def render(findings: DataFrame, manifests: DataFrame, facts: ScanFacts, explain:
     counts = F.col("counts")
     warned = F.array_join(F.transform(F.coalesce("warnings", F.array().cast("array<string>")), lambda w: F.concat(F.lit("\n"), paint(F.concat(F.lit("  ⚠ "), w), YELLOW))), "")
     head = F.concat(
-        paint(F.lit(f"  {TOOL_NAME}"), BOLD), paint(F.lit(f"  v{__version__}  ·  deterministic supply-chain intelligence"), DIM), F.lit("\n"), rule(78),
+        paint(F.lit(f"  {TOOL_NAME}"), BOLD), paint(F.lit(f"  v{__version__}  ·  findings with their evidence"), DIM), F.lit("\n"), rule(78),
         F.lit("\n  target     "), "project", F.lit(f"\n  ecosystem  {facts.ecosystem}    packages "), counts["packages"].cast("string"),
         F.lit("  (direct "), counts["direct"].cast("string"), F.lit(")\n"), paint(F.lit(db), DIM), warned, F.lit("\n"),
     )

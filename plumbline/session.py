@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from math import ceil
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,18 +23,78 @@ ENGINE_CONF = {
 }
 
 
+# Text that one task parses, in bytes.
+PARSE_BYTES = 32 << 20
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, whatever folder they start in.
+
+    The sources are zipped once for each application and sent through Spark's own
+    file server, so nothing has to be installed on the machines.
+    """
+    package = os.path.dirname(os.path.abspath(__file__))
+    app = spark.sparkContext.applicationId
+    if _SHIPPED.get("app") == app:
+        return
+    folder = tempfile.mkdtemp(prefix="plumbline-code-")  # on the driver, which serves it
+    where = os.path.join(folder, "plumbline_package.zip")
+    with zipfile.ZipFile(where, "w", zipfile.ZIP_DEFLATED) as out:
+        for at, _, names in sorted(os.walk(package)):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(at, name)
+                out.write(full, os.path.join("plumbline", os.path.relpath(full, package)))
+    spark.sparkContext.addPyFile(where)
+    _SHIPPED["app"] = app
+
+
+_SHIPPED: dict[str, str] = {}
+
+
+def spread(df: DataFrame, text: str) -> DataFrame:
+    """Deals rows with long texts over enough tasks for their size.
+
+    The number of tasks follows from the bytes of ``text``; it is at least the
+    number of cores. Input that comes in as many parts already is not shuffled.
+    """
+    size = df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    tasks = max(ceil(size / PARSE_BYTES), df.sparkSession.sparkContext.defaultParallelism)
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
+
+
 def local_session(cpus: int | str = "*", app: str = "plumbline") -> SparkSession:
     """A local session for tests, the bench and the command line."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
     for key, value in ENGINE_CONF.items():
         builder = builder.config(key, value)
-    return (
+    spark = (
         builder.config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    ship_package(spark)
+    return spark
+
+
+def engine_session(app: str = "plumbline") -> SparkSession:
+    """The session of whoever submitted this program; a local one only where no master is set.
+
+    A running session is used as it is. Otherwise the master that spark-submit or
+    the defaults file name stays, and the settings of the engine are added.
+    """
+    running = SparkSession.getActiveSession()
+    if running is None and not SparkConf().get("spark.master", os.environ.get("MASTER")):
+        return local_session(app=app)
+    spark = running
+    if spark is None:
+        builder = SparkSession.builder.appName(app)
+        for key, value in ENGINE_CONF.items():
+            builder = builder.config(key, value)
+        spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def scratch_dir(spark: SparkSession) -> str:

@@ -19,6 +19,7 @@ FACT_COLUMNS = (
 )
 # kind    meaning of the columns
 # file    the file parsed
+# unparsed  a file that is no valid Python; ``name`` says why
 # use     imported top module ``base``, optional symbol ``name`` (any depth)
 # attr    attribute ``name`` used on a name bound to top module ``base``
 # bind    module-level import: local ``raw_name``; ``base`` module, ``name`` symbol
@@ -133,15 +134,15 @@ def _import_rows(tree: ast.AST, facts: _Facts) -> None:
 
 
 def file_facts(source: str) -> list[dict]:
-    """Facts of one file; an unparsable file has none."""
+    """Facts of one file; one that cannot be parsed has a single row that says so."""
     try:
         tree = ast.parse(source)
         facts = _Facts()
         facts.add("file")
         facts.visit(tree)
         _import_rows(tree, facts)
-    except (SyntaxError, ValueError, RecursionError):
-        return []
+    except (SyntaxError, ValueError, RecursionError) as problem:
+        return [{"kind": "unparsed", "ix": 0, "name": type(problem).__name__}]
     return facts.rows
 
 
@@ -153,16 +154,24 @@ def source_facts(files: DataFrame, *carry: str) -> DataFrame:
     fields += [(part.split()[0], kinds[part.split()[1]]) for part in FACT_COLUMNS.split(", ")]
     shape = pa.schema(fields)
 
+    names = [f.name for f in shape]
+    carried = len(carry)
+
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Column by column: facts of a few files at a time become one batch."""
         for batch in batches:
-            rows: list[dict] = []
-            for record in batch.to_pylist():
-                source = record.pop("content") or ""
-                rows.extend({**record, **fact} for fact in file_facts(source))
-                if len(rows) > 20_000:
-                    yield pa.RecordBatch.from_pylist(rows, schema=shape)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=shape)
+            *kept_columns, contents = [c.to_pylist() for c in batch.columns]
+            columns: list[list] = [[] for _ in names]
+            for at, content in enumerate(contents):
+                facts = file_facts(content or "")
+                for column, values in zip(columns, kept_columns):
+                    column.extend([values[at]] * len(facts))
+                for name, column in zip(names[carried:], columns[carried:]):
+                    column.extend([fact.get(name) for fact in facts])
+                if len(columns[0]) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, shape)], schema=shape)
+                    columns = [[] for _ in names]
+            if columns[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, shape)], schema=shape)
 
     return files.select(*carry, "content").mapInArrow(extract, f"{kept}, {FACT_COLUMNS}")

@@ -1,13 +1,15 @@
 """Source trees, including the names Spark's own file sources hide.
 
 Spark skips files and folders whose names start with ``_`` or ``.``, so it never
-sees ``__init__.py`` or ``.venv``. Here folders are listed by tasks, one per
-entry of the root, and the files found are spread by path before any is read.
+sees ``__init__.py`` or ``.venv``. Here one task lists the root, tasks list the
+folders in it, and the files found are dealt by their number and size before any
+is read. No folder is left out; who reads the rows decides which count.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -15,49 +17,86 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import lossy_utf8
+from plumbline.session import PARSE_BYTES, materialize
 
-# Folders that hold neither first-party nor dependency sources.
-NEVER_LISTED = {".git", "node_modules", "__pycache__", ".tox", ".eggs", ".mypy_cache", ".pytest_cache"}
-PATHS = pa.schema([("path", pa.string())])
-CONTENTS = pa.schema([("path", pa.string()), ("value", pa.binary())])
+UNITS = pa.schema([("unit", pa.string()), ("is_dir", pa.bool_()), ("size", pa.int64())])
+FILES = pa.schema([("path", pa.string()), ("size", pa.int64())])
+CONTENTS = pa.schema([("path", pa.string()), ("value", pa.binary()), ("error", pa.string())])
+FOLDERS_PER_TASK, FILES_PER_TASK = 64, 4096
+
+
+def list_root(spark: SparkSession, root: str) -> DataFrame:
+    """``unit, is_dir, size`` of the entries right below ``root``, listed by one task."""
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                store, base = pafs.FileSystem.from_uri(root)
+                found = store.get_file_info(pafs.FileSelector(base, allow_not_found=True))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([e.path for e in found], pa.string()),
+                        pa.array([e.type == pafs.FileType.Directory for e in found], pa.bool_()),
+                        pa.array([e.size or 0 for e in found], pa.int64()),
+                    ],
+                    schema=UNITS,
+                )
+
+    return spark.range(1, numPartitions=1).mapInArrow(entries, "unit string, is_dir boolean, size long")
 
 
 def read_tree(spark: SparkSession, root: str, suffix: str = ".py") -> DataFrame:
-    """Rows ``path, content`` of the files below ``root``, paths relative to it.
+    """Rows ``path, content, error`` of the files below ``root``, paths relative to it.
 
-    ``root`` is an absolute path or a URI that every executor can read.
+    ``root`` is an absolute path or a URI that every executor can read. A file
+    that cannot be read is a row with its ``error`` and no content; a folder that
+    cannot be listed is one as well.
     """
-    fs, base = pafs.FileSystem.from_uri(root)
-    entries = fs.get_file_info(pafs.FileSelector(base, allow_not_found=True))
-    units = [(e.path, e.type == pafs.FileType.Directory) for e in entries if e.base_name not in NEVER_LISTED]
-    spread = spark.sparkContext.defaultParallelism * 2
 
     def list_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = pafs.FileSystem.from_uri(root)
         for batch in batches:
             for unit in batch.to_pylist():
                 if not unit["is_dir"]:
-                    yield pa.RecordBatch.from_pylist([{"path": unit["unit"]}] if unit["unit"].endswith(suffix) else [], schema=PATHS)
+                    kept = [(unit["unit"], unit["size"])] if unit["unit"].endswith(suffix) else []
+                    yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in kept], pa.string()), pa.array([s for _, s in kept], pa.int64())], schema=FILES)
                     continue
                 folders = [unit["unit"]]
                 while folders:
-                    found = store.get_file_info(pafs.FileSelector(folders.pop()))
-                    folders += [f.path for f in found if f.type == pafs.FileType.Directory and f.base_name not in NEVER_LISTED]
-                    files = [{"path": f.path} for f in found if f.type == pafs.FileType.File and f.path.endswith(suffix)]
-                    yield pa.RecordBatch.from_pylist(files, schema=PATHS)
+                    folder = folders.pop()
+                    try:
+                        found = store.get_file_info(pafs.FileSelector(folder))
+                    except OSError:
+                        # Read again as a file it fails there, and its row says so.
+                        yield pa.RecordBatch.from_arrays([pa.array([folder], pa.string()), pa.array([0], pa.int64())], schema=FILES)
+                        continue
+                    folders += [f.path for f in found if f.type == pafs.FileType.Directory]
+                    files = [f for f in found if f.type != pafs.FileType.Directory and f.path.endswith(suffix)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([f.path for f in files], pa.string()), pa.array([f.size or 0 for f in files], pa.int64())], schema=FILES
+                    )
 
     def read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = pafs.FileSystem.from_uri(root)
         cut = len(top.rstrip("/")) + 1
         for batch in batches:
             for path in batch.column(0).to_pylist():
+                value, error = None, None
                 try:
                     with store.open_input_stream(path) as stream:
-                        row = {"path": path[cut:], "value": stream.read()}
-                except OSError:  # gone or unreadable since it was listed
-                    continue
-                yield pa.RecordBatch.from_pylist([row], schema=CONTENTS)
+                        value = stream.read()
+                except OSError as problem:
+                    error = f"{type(problem).__name__}: {problem.strerror or problem}"
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([path[cut:]], pa.string()), pa.array([value], pa.binary()), pa.array([error], pa.string())], schema=CONTENTS
+                )
 
-    listed = spark.createDataFrame(units, "unit string, is_dir boolean").repartition(spread, "unit").mapInArrow(list_files, "path string")
-    contents = listed.repartition(spread, "path").mapInArrow(read_files, "path string, value binary")
-    return contents.select("path", lossy_utf8(F.col("value")).alias("content"))
+    units = materialize(list_root(spark, root), "units")
+    folders = units.count()
+    dealt = units.repartition(max(1, ceil(folders / FOLDERS_PER_TASK)), "unit")
+    listed = materialize(dealt.mapInArrow(list_files, "path string, size long"), "listed")
+    size = listed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+    tasks = max(ceil(size.n / FILES_PER_TASK), ceil(size.bytes / PARSE_BYTES), 1)
+    tasks = max(tasks, min(size.n, spark.sparkContext.defaultParallelism))
+    contents = listed.repartition(tasks, "path").mapInArrow(read_files, "path string, value binary, error string")
+    return contents.select("path", lossy_utf8(F.col("value")).alias("content"), "error")

@@ -82,7 +82,7 @@ class AdvisoryStore:
         spans = None
         if source_root:
             spans = source_facts(read_tree(self.spark, source_root), "path").where("kind in ('def', 'class')")
-        mined = mining.mine_patches(known, spans)
+        mined = mining.mine_patches(known.withColumnRenamed("path", "patch"), spans, ("advisory", "patch"))
         return self.add_mined(mined, source)
 
     def add_mined(self, mined: DataFrame, source: str) -> tuple[int, int]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.plans import derived
+from plumbline.session import spread
 from plumbline.sources.advisories import parse_epss, parse_osv
 
 
@@ -16,12 +17,10 @@ def installs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Advisories parsed from the OSV documents of the orders.
 
-    The test table is one small file, hence one split; the documents are spread
-    so that all cores parse them.
+    The documents are built from numbers, so a split of the table becomes much
+    more text than it was bytes; they are spread by that.
     """
-    texts = derived.run(spark, sf_dir, derived.OSV_TEXT)
-    spread = texts.repartition(spark.sparkContext.defaultParallelism * 2, "o_orderkey")
-    return parse_osv(spread, "content", "o_orderkey")
+    return parse_osv(spread(derived.run(spark, sf_dir, derived.OSV_TEXT), "content"), "content", "o_orderkey")
 
 
 def epss(spark: SparkSession, sf_dir: str) -> DataFrame:

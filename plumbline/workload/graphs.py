@@ -11,7 +11,7 @@ from plumbline.operators.traces import fold_calls
 from plumbline.plans import derived
 from plumbline.plans.scan import SourceEvidence, ScanResult, advisory_facts, locate_dependencies, name_graph, scan
 from plumbline.operators.enrichment import enrich
-from plumbline.session import materialize
+from plumbline.session import materialize, spread
 from plumbline.sources.manifests import dependency_edges, mark_direct, merge_packages
 from plumbline.sources.pyfacts import source_facts
 from plumbline.workload import common as c
@@ -21,19 +21,13 @@ from plumbline.workload.scoring import CVSS_SQL
 VERDICT = ["project", "name", "version", "vuln_id"]
 
 
-def _spread(texts: DataFrame) -> DataFrame:
-    """The test tables are one small file each, hence one split; spread the
-    texts so that all cores parse them (a fixed number is not coalesced away)."""
-    return texts.repartition(texts.sparkSession.sparkContext.defaultParallelism * 2, "project", "path")
-
-
 def _sources(spark, sf):
-    files = _spread(derived.run(spark, sf, derived.SOURCES))
+    files = spread(derived.run(spark, sf, derived.SOURCES), "content")
     return files, source_facts(files, "project", "path")
 
 
 def _dep_facts(spark, sf):
-    return source_facts(_spread(derived.run(spark, sf, derived.DEP_SOURCES)), "project", "root_ix", "path")
+    return source_facts(spread(derived.run(spark, sf, derived.DEP_SOURCES), "content"), "project", "root_ix", "path")
 
 
 def _packages(spark, sf):
@@ -52,13 +46,16 @@ def dependency_closure(spark: SparkSession, sf: str) -> DataFrame:
     return closure(edges, seeds, ["project"])
 
 
-_HUB = f"""
+DEPENDENCY_CLOSURE = f"""
 WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT * FROM ({derived.portable(derived.HUB_EDGES)})),
-w(project, node, depth) AS (
+w(project, node, depth) USING KEY (project, node) AS (
   SELECT DISTINCT project, node, 0 FROM ({derived.portable(derived.HUB_SEEDS)})
-  UNION SELECT w.project, e.dst, w.depth + 1 FROM w JOIN e ON e.project = w.project AND e.src = w.node WHERE w.depth < 40)
+  UNION
+  SELECT w.project, e.dst, min(w.depth) + 1 FROM w JOIN e ON e.project = w.project AND e.src = w.node
+  LEFT JOIN recurring.w seen ON seen.project = w.project AND seen.node = e.dst
+  WHERE seen.node IS NULL GROUP BY w.project, e.dst)
+SELECT project, node, depth FROM w
 """
-DEPENDENCY_CLOSURE = f"{_HUB} SELECT project, node, min(depth) AS depth FROM w GROUP BY project, node"
 
 
 def shortest_paths(spark: SparkSession, sf: str) -> DataFrame:
@@ -132,7 +129,7 @@ uses AS (
   UNION SELECT project, 'importlib', NULL, 'import_module' FROM li WHERE k = 5
   UNION SELECT project, dist, 'shared.py', NULL FROM sh
   UNION SELECT project, dist, NULL, fn FROM sh),
-analysed AS (SELECT project FROM li WHERE k <> 4 UNION SELECT project FROM sh),
+analysed AS (SELECT project FROM li WHERE k <> 4 UNION SELECT CAST(o_orderkey AS VARCHAR) FROM orders),
 paths AS (
   SELECT project, dist, fn AS symbol, 1 AS depth, [m || ':<toplevel>', m || '.run', dist || '.' || fn] AS path FROM li WHERE k = 0
   UNION ALL SELECT project, dist, entry, 1, [m || ':<toplevel>', m || '.work', dist || '.' || entry] FROM li WHERE k = 2

@@ -227,9 +227,9 @@ LEFT JOIN ({derived.portable(derived.KEV)}) k2 ON k2.cve = upper(a.cve2)
 def package_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     """Many manifest rows per package: the first with a version counts."""
     rows = derived.run(spark, sf, f"SELECT * FROM ({derived.INSTALLS})")
-    unsure = F.when(F.col("l_suppkey") % 3 == 0, F.lit(None)).otherwise(F.col("version"))
+    unsure = F.when(F.col("l_orderkey") % 3 == 0, F.lit(None)).otherwise(F.col("version"))
     dup = rows.select(
-        (F.col("l_orderkey") % 500).cast("string").alias("project"), "name",
+        F.col("l_suppkey").cast("string").alias("project"), "name",
         unsure.alias("version"), "confidence",
         F.struct("l_orderkey", "l_linenumber", "l_suppkey").alias("load_order"),
     )
@@ -237,10 +237,10 @@ def package_dedupe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 PACKAGE_DEDUPE = f"""
-SELECT CAST(l_orderkey % 500 AS VARCHAR) AS project, name,
-       arg_min(CASE WHEN l_suppkey % 3 = 0 THEN '' ELSE version END, o) AS version0,
+SELECT CAST(l_suppkey AS VARCHAR) AS project, name,
+       arg_min(CASE WHEN l_orderkey % 3 = 0 THEN '' ELSE version END, o) AS version0,
        arg_min(confidence, o) AS confidence
-FROM (SELECT *, [CASE WHEN l_suppkey % 3 = 0 THEN 1 ELSE 0 END, l_orderkey, l_linenumber, l_suppkey] AS o FROM ({c.INSTALLS_SQL}))
+FROM (SELECT *, [CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE 0 END, l_orderkey, l_linenumber, l_suppkey] AS o FROM ({c.INSTALLS_SQL}))
 GROUP BY 1, 2
 """
 PACKAGE_DEDUPE = f"SELECT project, name, nullif(version0, '') AS version, confidence FROM ({PACKAGE_DEDUPE})"
