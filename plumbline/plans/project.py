@@ -16,7 +16,7 @@ from plumbline.report.manifest import ScanFacts, manifests
 from plumbline.session import materialize
 from plumbline.sources.files import is_directory, path_exists, read_whole_files, under_any_dir
 from plumbline.sources.manifests import Resolution, read_project_files, resolve, scanned_projects
-from plumbline.sources.pyfacts import source_facts
+from plumbline.sources.pyfacts import shared_facts, source_facts
 from plumbline.sources.tree import read_tree
 from plumbline.store import AdvisoryStore
 
@@ -88,9 +88,9 @@ def read_dependency_roots(spark: SparkSession, roots: list[str], project: str) -
     return found
 
 
-def facts_or_errors(files: DataFrame, *carry: str) -> DataFrame:
+def facts_or_errors(files: DataFrame, *carry: str, shared: bool = False) -> DataFrame:
     """Facts of the files; one that could not be read is an ``unparsed`` row with the error."""
-    facts = source_facts(files.where("error is null"), *carry)
+    facts = (shared_facts if shared else source_facts)(files.where("error is null"), *carry)
     failed = files.where("error is not null").select(*carry, F.lit("unparsed").alias("kind"), F.col("error").alias("name"))
     return facts.unionByName(failed, allowMissingColumns=True)
 
@@ -135,7 +135,7 @@ def scan_target(
         trace = load_trace(read_whole_files(spark, trace_path)).withColumn("project", F.lit(target))
     # Read and parsed once: the written facts have a row for every file, also for those that are no valid Python.
     own_facts = materialize(facts_or_errors(own, "project", "path"), "ownfacts")
-    dep_facts = materialize(facts_or_errors(dep_files, "project", "root_ix", "path"), "depfacts")
+    dep_facts = materialize(facts_or_errors(dep_files, "project", "root_ix", "path", shared=True), "depfacts")
     files = own_facts.where("kind in ('file', 'unparsed')").select("project", "path").distinct()
     resolution.warnings = resolution.warnings.unionByName(source_warnings(own_facts)).unionByName(source_warnings(dep_facts))
     evidence = SourceEvidence(files=files, facts=own_facts.where("kind <> 'unparsed'"), dep_facts=dep_facts.where("kind <> 'unparsed'"), trace=trace)

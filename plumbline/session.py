@@ -121,11 +121,22 @@ def materialize_counted(df: DataFrame, tag: str) -> tuple[DataFrame, int]:
     while writing, without a second pass.
     """
     path = f"{scratch_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["rows"]
 
 
+_WRITTEN: list[str] = []
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Removes the intermediate tables this program wrote; call it when its results are written."""
+    while _WRITTEN:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """As ``materialize_counted``, without the count."""
     return materialize_counted(df, tag)[0]

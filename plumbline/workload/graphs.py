@@ -13,7 +13,7 @@ from plumbline.plans.scan import SourceEvidence, ScanResult, advisory_facts, loc
 from plumbline.operators.enrichment import enrich
 from plumbline.session import materialize, spread
 from plumbline.sources.manifests import dependency_edges, mark_direct, merge_packages
-from plumbline.sources.pyfacts import source_facts
+from plumbline.sources.pyfacts import shared_facts, source_facts
 from plumbline.workload import common as c
 from plumbline.workload.matching import THREAT_SQL
 from plumbline.workload.scoring import CVSS_SQL
@@ -27,7 +27,7 @@ def _sources(spark, sf):
 
 
 def _dep_facts(spark, sf):
-    return source_facts(spread(derived.run(spark, sf, derived.DEP_SOURCES), "content"), "project", "root_ix", "path")
+    return shared_facts(derived.run(spark, sf, derived.DEP_SOURCES), "project", "root_ix", "path")
 
 
 def _packages(spark, sf):

@@ -10,8 +10,6 @@ SF = "/root/testdata/sf0.001"
 duckdb = pytest.importorskip("duckdb")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 
-# The slow ones are covered by scan_findings, which contains them.
-FAST = sorted(set(workload.queries()) - {"function_refine", "deep_refine", "runtime_refine", "package_reachability", "direct_callers"})
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +26,7 @@ def canonical(value):
     return round(value, 9) if isinstance(value, float) else value
 
 
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", sorted(workload.queries()))
 def test_query_equals_sql(spark, tables, name):
     df = workload.queries()[name](spark, SF)
     columns = sorted(df.columns)
