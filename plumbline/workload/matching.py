@@ -71,7 +71,8 @@ FROM ({c.INSTALLS_SQL})
 
 
 def version_extremes(spark: SparkSession, sf: str) -> DataFrame:
-    coords = c.installs(spark, sf).select("name", "version").distinct()
+    # Written, because min and max above do not mind copies and the optimizer would drop the distinct: a version is parsed once.
+    coords = materialize(c.installs(spark, sf).select("name", "version").distinct(), "coords")
     keyed = coords.withColumn("k", versions.version_key(F.col("version")))
     # Equal versions in different spellings fall together first.
     distinct = keyed.groupBy("name", "k").agg(F.min("version").alias("first"), F.max("version").alias("last"))
