@@ -158,8 +158,6 @@ def repetition(
     min_repeat: int = 8,
     max_covered: float = 0.4,
     max_repeat: int = 64,
-    max_dup_lines: int = 50,
-    max_symbol_ratio: float = 1.0,
 ) -> DataFrame:
     """Judges every text by its repeated substrings; one row per input row.
 
@@ -169,9 +167,8 @@ def repetition(
     words or more, every occurrence included; ``n_spans`` counts those spans.
     ``base_failed``: fewer than 50 words, or over half of them in repeated
     three-word windows. ``kept`` is false if the base fails, the covered share
-    exceeds ``max_covered``, the longest repeat exceeds ``max_repeat`` words, the
-    repeated lines exceed ``max_dup_lines`` or there are more than
-    ``max_symbol_ratio`` symbols per word.
+    exceeds ``max_covered`` or the longest repeat exceeds ``max_repeat`` words.
+    Symbols and repeated lines are counted for further rules and decide nothing.
 
     Null and empty texts have no word and are not kept. Repeated rows, ids that
     are null or tie, and other columns do not matter: each row is judged alone,
@@ -186,10 +183,5 @@ def repetition(
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = map_rows(rows, measure(min_repeat), schema)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    good = (
-        (F.col("covered_words") <= max_covered * F.col("n_words"))
-        & (F.col("longest_repeat") <= max_repeat)
-        & (F.col("n_dup_lines") <= max_dup_lines)
-        & (F.col("n_symbols") <= max_symbol_ratio * F.col("n_words"))
-    )
+    good = (F.col("covered_words") <= max_covered * F.col("n_words")) & (F.col("longest_repeat") <= max_repeat)
     return found.withColumn("base_failed", failed).withColumn("kept", ~failed & good)
