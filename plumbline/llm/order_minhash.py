@@ -18,6 +18,9 @@ WORDS = 5  # words of a shingle
 BLOCK = 512  # members of a large mixed bucket that are compared at a time
 _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
 
+LEAST = 128  # least shingle hashes of a text, from which a shingle similarity is estimated
+AGREE = 3  # bands in which a pair that is not found through a head has to agree
+MARGIN = 0.1  # over three deviations of that estimate
 SMALL = 64  # members up to which a mixed bucket is paired directly
 
 
@@ -56,8 +59,11 @@ def occurrences(keys: np.ndarray) -> np.ndarray:
     return out.astype(np.uint64)
 
 
-def sketch(words: list[str], bands: int, picks: int) -> np.ndarray:
-    """Order MinHash: for each band the ``picks`` labelled shingles of least hash, joined in text order."""
+def sketch(words: list[str], bands: int, picks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order MinHash: for each band the ``picks`` labelled shingles of least hash, joined in text order.
+
+    Also gives the ``LEAST`` least of all labelled shingle hashes.
+    """
     keys = shingles(words)
     labelled = mix(keys + occurrences(keys) * np.uint64(0x9E3779B97F4A7C15))
     picks = min(picks, len(keys))
@@ -70,7 +76,8 @@ def sketch(words: list[str], bands: int, picks: int) -> np.ndarray:
     out = np.arange(1, bands + 1, dtype=np.uint64)
     for pick in range(picks):
         out = mix(out + keys[at[:, pick]] * _PRIMES[0])
-    return out
+    least = labelled if len(labelled) <= LEAST else np.partition(labelled, LEAST - 1)[:LEAST]
+    return out.view(np.int64), least.view(np.int64)
 
 
 def edit_distance(a: list, b: list, most: int) -> int:
@@ -122,8 +129,8 @@ def describe(bands: int, picks: int) -> Callable[[], Callable[[list], dict]]:
             # id, digest of the text, text
             words = [t.split() if t else [] for t in columns[2]]
             marks = [blake2b(" ".join(w).encode("utf-8", "surrogatepass"), digest_size=16).digest() if w else None for w in words]
-            sketches = [sketch(w, bands, picks).view(np.int64) if w else None for w in words]
-            return {"doc_id": columns[0], "text_key": columns[1], "mark": marks, "n_words": [len(w) for w in words], "sketch": sketches}
+            sketches, least = zip(*[sketch(w, bands, picks) if w else (None, None) for w in words]) if words else ([], [])
+            return {"doc_id": columns[0], "text_key": columns[1], "mark": marks, "n_words": [len(w) for w in words], "sketch": list(sketches), "least": list(least)}
 
         return step
 
@@ -138,7 +145,7 @@ def near_duplicates(
     bands: int = 16,
     picks: int = 3,
 ) -> DataFrame:
-    """``doc_id, class_id, kept, n_words``: the near-duplicate class of every row.
+    """``doc_id, class_id, kept, n_words, text_key`` (md5): the near-duplicate class of every row.
 
     ``class_id`` is the smallest id of the class. ``kept`` is true for the row
     whose id names the class; rows without a word and those with a null id and no
@@ -152,9 +159,10 @@ def near_duplicates(
 
     Rows with the same words are one node from the start. In each bucket all
     members are compared with its smallest; where members of different classes
-    are left in a bucket they are compared with each other: pairwise in small
-    buckets, by blocks of sketches in large ones, where a pair has to agree in a
-    second band as well. Pairs within a class are never emitted, no bucket is cut
+    are left in a bucket they are compared with each other if they agree in
+    ``AGREE`` bands and their least shingle hashes allow a shingle similarity of
+    ``threshold`` (of pairs at 0.8 three in a thousand are let go): inside a join in
+    small buckets, by blocks of members in large ones. Pairs within a class are never emitted, no bucket is cut
     off, and texts of any length are aligned whole. Repeated rows fall together,
     a null text is a text without words, an empty table gives an empty result and
     columns beyond id and text are not read.
@@ -164,10 +172,10 @@ def near_duplicates(
     id_type = dict(docs.dtypes)[id_col]
     text = F.col(text_col).cast("string")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(text)).alias("text_key"), text.alias("text"))
-    schema = f"doc_id {id_type}, text_key binary, mark binary, n_words int, sketch array<bigint>"
+    schema = f"doc_id {id_type}, text_key binary, mark binary, n_words int, sketch array<bigint>, least array<bigint>"
     rows = scratch.table(map_rows(texts, describe(bands, picks), schema), "rows")
     worded = rows.where("mark IS NOT NULL")
-    nodes = scratch.table(worded.groupBy("mark").agg(F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = scratch.table(worded.groupBy("mark").agg(F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch"), F.first("least").alias("least")), "nodes")
     members = nodes.select("mark", "n_words", F.posexplode("sketch").alias("band", "value"))
     heads = members.groupBy("band", "value").agg(F.min("mark").alias("head"), F.max("mark").alias("last")).where("head <> last").drop("last")
     buckets = scratch.table(members.join(heads, ["band", "value"]), "buckets")
@@ -182,16 +190,16 @@ def near_duplicates(
         if not more.isEmpty():
             classes = components(links.unionByName(more), scratch, "a", "b")
     in_class = worded.join(classes.withColumnRenamed("node", "mark"), "mark", "left").select(
-        "doc_id", "n_words", F.coalesce("component", "mark").alias("component")
+        "doc_id", "text_key", "n_words", F.coalesce("component", "mark").alias("component")
     )
     named = in_class.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    placed = in_class.join(named, "component").select("doc_id", "class_id", "n_words")
-    alone = rows.where("mark IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), "n_words")
-    return placed.unionByName(alone).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "n_words")
+    placed = in_class.join(named, "component").select("doc_id", "class_id", "n_words", "text_key")
+    alone = rows.where("mark IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), "n_words", "text_key")
+    return placed.unionByName(alone).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "n_words", "text_key")
 
 
 def rest_of(buckets: DataFrame, nodes: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs a < b of one bucket whose classes still differ and whose lengths allow a link."""
+    """Pairs a < b of one bucket whose classes still differ and whose lengths and shingles allow a link."""
     placed = buckets.join(classes.withColumnRenamed("node", "mark"), "mark", "left").select(
         "band", "value", "mark", "n_words", F.coalesce("component", "mark").alias("class")
     )
@@ -199,19 +207,27 @@ def rest_of(buckets: DataFrame, nodes: DataFrame, classes: DataFrame, threshold:
         F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("size")
     )
     placed = placed.join(mixed.where("low <> high").select("band", "value", "size"), ["band", "value"])
-    small = placed.where(F.col("size") <= SMALL)
+    small = placed.where(F.col("size") <= SMALL).join(nodes.select("mark", "sketch", "least"), "mark")
     one, two = small.alias("one"), small.alias("two")
     lengths = F.least("one.n_words", "two.n_words") >= F.greatest("one.n_words", "two.n_words") * F.lit(threshold) - 1e-6
+    # Evaluated inside the join, so pairs that cannot be links are never rows.
+    equal = F.zip_with("one.sketch", "two.sketch", lambda x, y: x == y)
+    # A pair counts in the first of its common buckets alone; that one is mixed too, as the classes differ.
+    agree = (F.array_position(equal, True) == F.col("one.band") + 1) & (F.size(F.filter(equal, lambda same: same)) >= AGREE)
+    first, second = (F.greatest(F.col(f"{side}.n_words") - (WORDS - 1), F.lit(1)) for side in ("one", "two"))
+    close = F.size(F.array_intersect("one.least", "two.least")) >= F.least(F.lit(LEAST), F.greatest(first, second)) * (
+        threshold / (1 + threshold) * (first + second) / F.greatest(first, second) - MARGIN
+    )
     apart = (F.col("one.mark") < F.col("two.mark")) & (F.col("one.class") != F.col("two.class"))
     same = (F.col("one.band") == F.col("two.band")) & (F.col("one.value") == F.col("two.value"))
-    paired = one.join(two, same & apart & lengths).select(F.col("one.mark").alias("a"), F.col("two.mark").alias("b"))
+    paired = one.join(two, same & apart & lengths & agree & close).select(F.col("one.mark").alias("a"), F.col("two.mark").alias("b"))
     # Large buckets: every block of members meets every block, as arrays of sketches inside a task.
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("mark"), blocks).cast("int")
     large = placed.where(F.col("size") > SMALL).withColumn("own", own)
     large = large.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     large = large.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
-    large = large.join(nodes.select("mark", "sketch"), "mark").select("band", "value", "x", "y", "own", "mark", "n_words", "class", "sketch")
+    large = large.join(nodes.select("mark", "sketch", "least"), "mark").select("band", "value", "x", "y", "own", "mark", "n_words", "class", "sketch", "least")
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         left = group[group["own"] == key[2]].reset_index(drop=True)
@@ -219,12 +235,21 @@ def rest_of(buckets: DataFrame, nodes: DataFrame, classes: DataFrame, threshold:
         ls, rs = np.array(left["sketch"].tolist()), np.array(right["sketch"].tolist())
         found = []
         if len(left) and len(right):
-            agree = sum((ls[:, i, None] == rs[None, :, i]).astype(np.int8) for i in range(ls.shape[1])) >= 2
+            equal = lambda i: ls[:, i, None] == rs[None, :, i]
+            agree = sum(equal(i).astype(np.int8) for i in range(key[0], ls.shape[1])) >= AGREE
+            for earlier in range(key[0]):  # a pair counts in the first of its common buckets alone
+                agree &= ~equal(earlier)
             ln, rn = left["n_words"].to_numpy()[:, None], right["n_words"].to_numpy()[None, :]
             agree &= np.minimum(ln, rn) >= np.maximum(ln, rn) * threshold - 1e-6
             agree &= left["class"].to_numpy()[:, None] != right["class"].to_numpy()[None, :]
+            rows, cols = np.nonzero(agree)
+            a, b = left["least"].map(set), right["least"].map(set)
+            ln, rn = np.maximum(left["n_words"].to_numpy() - WORDS + 1, 1), np.maximum(right["n_words"].to_numpy() - WORDS + 1, 1)
             lm, rm = left["mark"], right["mark"]
-            found = [(min(lm[i], rm[j]), max(lm[i], rm[j])) for i, j in zip(*np.nonzero(agree))]
+            for i, j in zip(rows, cols):
+                longer = max(ln[i], rn[j])
+                if len(a[i] & b[j]) >= min(LEAST, longer) * (threshold / (1 + threshold) * (ln[i] + rn[j]) / longer - MARGIN):
+                    found.append((min(lm[i], rm[j]), max(lm[i], rm[j])))
         return pd.DataFrame(sorted(set(found)), columns=["a", "b"])
 
     blocked = large.groupBy("band", "value", "x", "y").applyInPandas(compare, "a binary, b binary")
