@@ -12,15 +12,13 @@ from plumbline.llm.mixing import mixing_rates
 from plumbline.llm.order_minhash import near_duplicates
 from plumbline.llm.packing import pack
 from plumbline.llm.queries import byte_bpe, table, tempered
-from plumbline.llm.toxicity import toxicity
+from plumbline.llm.toxicity import without_toxic
 from plumbline.session import scratch_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is at the cut or above go; equal ids with different texts are judged by the higher score."""
-    scored = toxicity(docs, table(spark, sf_dir, "labels"))
-    rejected = scored.where("predicted = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    """Documents whose score is at the cut or above go; every row is judged by its own text."""
+    return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,11 +29,14 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays, the one with the smallest id."""
-    goes = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    rest = docs.join(goes, "doc_id", "left_anti")
-    # Rows that share an id are one class at most if their texts are alike; equal rows come down to one.
-    key = F.struct("doc_id", F.md5("text").alias("digest"))
-    return rest.withColumn("__key", key).dropDuplicates(["__key"]).select(docs.columns)
+    verdict = near_duplicates(docs).groupBy(F.col("doc_id").alias("__near_id"), F.col("text_key").alias("__near_key")).agg(
+        F.max("kept").alias("__near_kept"), F.count(F.lit(1)).alias("__near_rows")
+    )
+    same = docs["doc_id"].eqNullSafe(F.col("__near_id")) & F.unhex(F.md5(docs["text"])).eqNullSafe(F.col("__near_key"))
+    kept = docs.join(verdict, same).where("__near_kept")
+    # Equal rows come down to one; different texts that share an id are judged each by its own class.
+    many = kept.where("__near_rows > 1").dropDuplicates(["__near_id", "__near_key"])
+    return kept.where("__near_rows = 1").select(docs.columns).unionByName(many.select(docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

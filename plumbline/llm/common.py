@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.session import scratch_dir
+from plumbline.session import scratch_dir, ship_package
 
 # Spark 4 offers the bytes limit of Arrow batches; rows alone would let very long texts pile up.
 SLICE_ROWS = 256
@@ -25,6 +25,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship_package(spark)
         self.spark = spark
         self.base = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
@@ -127,6 +128,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list], dict]], schema:
     are set up once. Slices hold ``SLICE_ROWS`` rows, which bounds what is
     unpacked at a time. Where a function needs whole groups, use another way.
     """
+    ship_package(df.sparkSession)
     fields = df.sparkSession.createDataFrame([], schema).schema if isinstance(schema, str) else schema
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import crc_mod, map_rows, sample_by_class
+from plumbline.session import ship_package
 
 WORD = re.compile(r"\w+")
 RIDGE = 3e-5
@@ -208,19 +210,28 @@ def toxicity(
     and without both classes the score is the share of the one that is there.
     """
     model = train(docs, labels, id_col, text_col, label_col, groups, per_class, vocabulary_size, swap_penalty, sparsity, fold)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         (crc_mod(id_col, fold[0]) == fold[1] if fold else F.lit(False)).alias("held_out"),
-        F.col(text_col).cast("string").alias("text"),
+        score_column(docs.sparkSession, model, F.col(text_col)).alias("score"),
     )
-    scored = map_rows(rows, scorer(shared), f"doc_id {dict(docs.dtypes)[id_col]}, held_out boolean, score double")
-    return scored.withColumn("predicted", (F.col("score") >= cut).cast("int"))
+    return rows.withColumn("predicted", (F.col("score") >= cut).cast("int"))
 
 
-def scorer(shared) -> Callable[[], Callable[[list], dict]]:
-    def make():
-        score = shared.value.score
-        return lambda columns: {"doc_id": columns[0], "held_out": columns[1], "score": [score(t) for t in columns[2]]}
+def score_column(spark: SparkSession, model: ToxicModel, text: Column) -> Column:
+    """The score of a text column, so that rows can be scored in place without a join."""
+    ship_package(spark)
+    shared = spark.sparkContext.broadcast(model)
 
-    return make
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        of_text = shared.value.score
+        return pd.Series([of_text(t) for t in texts], dtype=float)
+
+    return score(text.cast("string"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, cut: float = 0.7, fold: tuple[int, int] | None = (3, 1)) -> DataFrame:
+    """``docs`` without the rows whose score reaches ``cut``; each row is judged by its own text, whatever its id."""
+    model = train(docs, labels, "doc_id", "text", "toxic", IDENTITY_TERMS, 2000, 4096, 1.0, 3e-3, fold)
+    return docs.where(score_column(docs.sparkSession, model, F.col("text")) < cut)
