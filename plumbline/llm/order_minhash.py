@@ -207,20 +207,23 @@ def rest_of(buckets: DataFrame, nodes: DataFrame, classes: DataFrame, threshold:
         F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("size")
     )
     placed = placed.join(mixed.where("low <> high").select("band", "value", "size"), ["band", "value"])
-    small = placed.where(F.col("size") <= SMALL).join(nodes.select("mark", "sketch", "least"), "mark")
+    small = placed.where(F.col("size") <= SMALL).join(nodes.select("mark", "sketch"), "mark")
     one, two = small.alias("one"), small.alias("two")
     lengths = F.least("one.n_words", "two.n_words") >= F.greatest("one.n_words", "two.n_words") * F.lit(threshold) - 1e-6
     # Evaluated inside the join, so pairs that cannot be links are never rows.
     equal = F.zip_with("one.sketch", "two.sketch", lambda x, y: x == y)
     # A pair counts in the first of its common buckets alone; that one is mixed too, as the classes differ.
     agree = (F.array_position(equal, True) == F.col("one.band") + 1) & (F.size(F.filter(equal, lambda same: same)) >= AGREE)
-    first, second = (F.greatest(F.col(f"{side}.n_words") - (WORDS - 1), F.lit(1)) for side in ("one", "two"))
-    close = F.size(F.array_intersect("one.least", "two.least")) >= F.least(F.lit(LEAST), F.greatest(first, second)) * (
-        threshold / (1 + threshold) * (first + second) / F.greatest(first, second) - MARGIN
-    )
     apart = (F.col("one.mark") < F.col("two.mark")) & (F.col("one.class") != F.col("two.class"))
     same = (F.col("one.band") == F.col("two.band")) & (F.col("one.value") == F.col("two.value"))
-    paired = one.join(two, same & apart & lengths & agree & close).select(F.col("one.mark").alias("a"), F.col("two.mark").alias("b"))
+    met = one.join(two, same & apart & lengths & agree).select(F.col("one.mark").alias("a"), F.col("two.mark").alias("b"))
+    # The least hashes are long, so only the few pairs that got here fetch them.
+    side = lambda name: nodes.select(
+        F.col("mark").alias(name), F.greatest(F.col("n_words") - (WORDS - 1), F.lit(1)).alias(f"n_{name}"), F.col("least").alias(f"least_{name}")
+    )
+    longer, both = F.greatest("n_a", "n_b"), F.col("n_a") + F.col("n_b")
+    close = F.size(F.array_intersect("least_a", "least_b")) >= F.least(F.lit(LEAST), longer) * (threshold / (1 + threshold) * both / longer - MARGIN)
+    paired = met.join(side("a"), "a").join(side("b"), "b").where(close).select("a", "b")
     # Large buckets: every block of members meets every block, as arrays of sketches inside a task.
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("mark"), blocks).cast("int")
