@@ -77,7 +77,7 @@ def sketch(words: list[str], bands: int, picks: int) -> tuple[np.ndarray, np.nda
     for pick in range(picks):
         out = mix(out + keys[at[:, pick]] * _PRIMES[0])
     least = labelled if len(labelled) <= LEAST else np.partition(labelled, LEAST - 1)[:LEAST]
-    return out.view(np.int64), least.view(np.int64)
+    return out.view(np.int64), (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def edit_distance(a: list, b: list, most: int) -> int:
@@ -172,7 +172,7 @@ def near_duplicates(
     id_type = dict(docs.dtypes)[id_col]
     text = F.col(text_col).cast("string")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(text)).alias("text_key"), text.alias("text"))
-    schema = f"doc_id {id_type}, text_key binary, mark binary, n_words int, sketch array<bigint>, least array<bigint>"
+    schema = f"doc_id {id_type}, text_key binary, mark binary, n_words int, sketch array<bigint>, least array<int>"
     rows = scratch.table(map_rows(texts, describe(bands, picks), schema), "rows")
     worded = rows.where("mark IS NOT NULL")
     nodes = scratch.table(worded.groupBy("mark").agg(F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch"), F.first("least").alias("least")), "nodes")
