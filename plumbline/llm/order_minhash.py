@@ -18,10 +18,9 @@ WORDS = 5  # words of a shingle
 BLOCK = 512  # members of a large mixed bucket that are compared at a time
 _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
 
-LEAST = 128  # least shingle hashes of a text, from which a shingle similarity is estimated
-AGREE = 3  # bands in which a pair that is not found through a head has to agree
-MARGIN = 0.1  # over three deviations of that estimate
+BINS = 256  # word counts of a text are summed in so many bins by the hash of the word
 SMALL = 64  # members up to which a mixed bucket is paired directly
+PAIRS = 4096  # pairs of a block whose bins are compared at a time
 
 
 @lru_cache(maxsize=300_000)
@@ -59,11 +58,8 @@ def occurrences(keys: np.ndarray) -> np.ndarray:
     return out.astype(np.uint64)
 
 
-def sketch(words: list[str], bands: int, picks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order MinHash: for each band the ``picks`` labelled shingles of least hash, joined in text order.
-
-    Also gives the ``LEAST`` least of all labelled shingle hashes.
-    """
+def sketch(words: list[str], bands: int, picks: int) -> np.ndarray:
+    """Order MinHash: for each band the ``picks`` labelled shingles of least hash, joined in text order."""
     keys = shingles(words)
     labelled = mix(keys + occurrences(keys) * np.uint64(0x9E3779B97F4A7C15))
     picks = min(picks, len(keys))
@@ -76,8 +72,18 @@ def sketch(words: list[str], bands: int, picks: int) -> tuple[np.ndarray, np.nda
     out = np.arange(1, bands + 1, dtype=np.uint64)
     for pick in range(picks):
         out = mix(out + keys[at[:, pick]] * _PRIMES[0])
-    least = labelled if len(labelled) <= LEAST else np.partition(labelled, LEAST - 1)[:LEAST]
-    return out.view(np.int64), (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return out.view(np.int64)
+
+
+def bag(words: list[str]) -> np.ndarray:
+    """Number of words in each of ``BINS`` bins, at most 127.
+
+    Putting words together and cutting counts off only brings two texts closer,
+    so the bins differ by no more than the words do.
+    """
+    ids = np.fromiter(map(word_hash, words), np.uint64, len(words))
+    counts = np.bincount((ids % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+    return np.minimum(counts, 127).astype(np.int8)
 
 
 def edit_distance(a: list, b: list, most: int) -> int:
@@ -129,8 +135,9 @@ def describe(bands: int, picks: int) -> Callable[[], Callable[[list], dict]]:
             # id, digest of the text, text
             words = [t.split() if t else [] for t in columns[2]]
             marks = [blake2b(" ".join(w).encode("utf-8", "surrogatepass"), digest_size=16).digest() if w else None for w in words]
-            sketches, least = zip(*[sketch(w, bands, picks) if w else (None, None) for w in words]) if words else ([], [])
-            return {"doc_id": columns[0], "text_key": columns[1], "mark": marks, "n_words": [len(w) for w in words], "sketch": list(sketches), "least": list(least)}
+            sketches = [sketch(w, bands, picks) if w else None for w in words]
+            bags = [bag(w) if w else None for w in words]
+            return {"doc_id": columns[0], "text_key": columns[1], "mark": marks, "n_words": [len(w) for w in words], "sketch": sketches, "bag": bags}
 
         return step
 
@@ -155,27 +162,29 @@ def near_duplicates(
     of ``picks`` five-word shingles in text order, and their words align with a
     similarity (1 - edits / longer length) of ``threshold`` or more. With a
     shingle similarity of 0.8 a band agrees about half of the time, so sixteen
-    miss a pair about once in 60,000.
+    miss a pair of long texts about once in 60,000; texts of few shingles share no
+    band more often.
 
     Rows with the same words are one node from the start. In each bucket all
     members are compared with its smallest; where members of different classes
-    are left in a bucket they are compared with each other if they agree in
-    ``AGREE`` bands and their least shingle hashes allow a shingle similarity of
-    ``threshold`` (of pairs at 0.8 three in a thousand are let go): inside a join in
-    small buckets, by blocks of members in large ones. Pairs within a class are never emitted, no bucket is cut
-    off, and texts of any length are aligned whole. Repeated rows fall together,
-    a null text is a text without words, an empty table gives an empty result and
-    columns beyond id and text are not read.
+    are left in a bucket, every two of them are aligned unless their lengths or
+    their words, counted in ``BINS`` bins, take more edits than a link may have:
+    inside a join in small buckets, by blocks of members in large ones. Both are
+    bounds, not estimates, so no link between two members of a bucket is missed.
+    Pairs within a class are never emitted, no bucket is cut off, and texts of
+    any length are aligned whole. Repeated rows fall together, a null text is a
+    text without words, an empty table gives an empty result and columns beyond
+    id and text are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "orderminhash")
     id_type = dict(docs.dtypes)[id_col]
     text = F.col(text_col).cast("string")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(text)).alias("text_key"), text.alias("text"))
-    schema = f"doc_id {id_type}, text_key binary, mark binary, n_words int, sketch array<bigint>, least array<int>"
+    schema = f"doc_id {id_type}, text_key binary, mark binary, n_words int, sketch array<bigint>, bag array<tinyint>"
     rows = scratch.table(map_rows(texts, describe(bands, picks), schema), "rows")
     worded = rows.where("mark IS NOT NULL")
-    nodes = scratch.table(worded.groupBy("mark").agg(F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch"), F.first("least").alias("least")), "nodes")
+    nodes = scratch.table(worded.groupBy("mark").agg(F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch"), F.first("bag").alias("bag")), "nodes")
     members = nodes.select("mark", "n_words", F.posexplode("sketch").alias("band", "value"))
     heads = members.groupBy("band", "value").agg(F.min("mark").alias("head"), F.max("mark").alias("last")).where("head <> last").drop("last")
     buckets = scratch.table(members.join(heads, ["band", "value"]), "buckets")
@@ -199,7 +208,7 @@ def near_duplicates(
 
 
 def rest_of(buckets: DataFrame, nodes: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs a < b of one bucket whose classes still differ and whose lengths and shingles allow a link."""
+    """Pairs a < b of one bucket whose classes still differ and whose lengths and bins of words allow a link."""
     placed = buckets.join(classes.withColumnRenamed("node", "mark"), "mark", "left").select(
         "band", "value", "mark", "n_words", F.coalesce("component", "mark").alias("class")
     )
@@ -207,52 +216,48 @@ def rest_of(buckets: DataFrame, nodes: DataFrame, classes: DataFrame, threshold:
         F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("size")
     )
     placed = placed.join(mixed.where("low <> high").select("band", "value", "size"), ["band", "value"])
-    small = placed.where(F.col("size") <= SMALL).join(nodes.select("mark", "sketch"), "mark")
+    small = placed.where(F.col("size") <= SMALL).join(nodes.select("mark", "sketch", "bag"), "mark")
     one, two = small.alias("one"), small.alias("two")
-    lengths = F.least("one.n_words", "two.n_words") >= F.greatest("one.n_words", "two.n_words") * F.lit(threshold) - 1e-6
+    longer, shorter = F.greatest("one.n_words", "two.n_words"), F.least("one.n_words", "two.n_words")
+    most = F.floor(longer * F.lit(1 - threshold) + 1e-9)
+    lengths = longer - shorter <= most
     # Evaluated inside the join, so pairs that cannot be links are never rows.
-    equal = F.zip_with("one.sketch", "two.sketch", lambda x, y: x == y)
     # A pair counts in the first of its common buckets alone; that one is mixed too, as the classes differ.
-    agree = (F.array_position(equal, True) == F.col("one.band") + 1) & (F.size(F.filter(equal, lambda same: same)) >= AGREE)
+    first = F.array_position(F.zip_with("one.sketch", "two.sketch", lambda x, y: x == y), True) == F.col("one.band") + 1
+    # Twice the words that only the longer side has are the words of either side alone and the difference of the lengths.
+    alone = F.aggregate(F.zip_with("one.bag", "two.bag", lambda x, y: F.abs(x - y)), F.lit(0), lambda total, x: total + x)
     apart = (F.col("one.mark") < F.col("two.mark")) & (F.col("one.class") != F.col("two.class"))
     same = (F.col("one.band") == F.col("two.band")) & (F.col("one.value") == F.col("two.value"))
-    met = one.join(two, same & apart & lengths & agree).select(F.col("one.mark").alias("a"), F.col("two.mark").alias("b"))
-    # The least hashes are long, so only the few pairs that got here fetch them.
-    side = lambda name: nodes.select(
-        F.col("mark").alias(name), F.greatest(F.col("n_words") - (WORDS - 1), F.lit(1)).alias(f"n_{name}"), F.col("least").alias(f"least_{name}")
-    )
-    longer, both = F.greatest("n_a", "n_b"), F.col("n_a") + F.col("n_b")
-    close = F.size(F.array_intersect("least_a", "least_b")) >= F.least(F.lit(LEAST), longer) * (threshold / (1 + threshold) * both / longer - MARGIN)
-    paired = met.join(side("a"), "a").join(side("b"), "b").where(close).select("a", "b")
-    # Large buckets: every block of members meets every block, as arrays of sketches inside a task.
+    bound = alone + longer - shorter <= 2 * most
+    paired = one.join(two, same & apart & lengths & first & bound).select(F.col("one.mark").alias("a"), F.col("two.mark").alias("b"))
+    # Large buckets: every block of members meets every block, as arrays inside a task.
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("mark"), blocks).cast("int")
     large = placed.where(F.col("size") > SMALL).withColumn("own", own)
     large = large.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     large = large.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
-    large = large.join(nodes.select("mark", "sketch", "least"), "mark").select("band", "value", "x", "y", "own", "mark", "n_words", "class", "sketch", "least")
+    large = large.join(nodes.select("mark", "sketch", "bag"), "mark").select("band", "value", "x", "y", "own", "mark", "n_words", "class", "sketch", "bag")
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         left = group[group["own"] == key[2]].reset_index(drop=True)
         right = group[group["own"] == key[3]].reset_index(drop=True)
-        ls, rs = np.array(left["sketch"].tolist()), np.array(right["sketch"].tolist())
         found = []
         if len(left) and len(right):
-            equal = lambda i: ls[:, i, None] == rs[None, :, i]
-            agree = sum(equal(i).astype(np.int8) for i in range(key[0], ls.shape[1])) >= AGREE
+            ls, rs = np.array(left["sketch"].tolist()), np.array(right["sketch"].tolist())
+            ln, rn = left["n_words"].to_numpy().astype(np.int64), right["n_words"].to_numpy().astype(np.int64)
+            fits = left["class"].to_numpy()[:, None] != right["class"].to_numpy()[None, :]
             for earlier in range(key[0]):  # a pair counts in the first of its common buckets alone
-                agree &= ~equal(earlier)
-            ln, rn = left["n_words"].to_numpy()[:, None], right["n_words"].to_numpy()[None, :]
-            agree &= np.minimum(ln, rn) >= np.maximum(ln, rn) * threshold - 1e-6
-            agree &= left["class"].to_numpy()[:, None] != right["class"].to_numpy()[None, :]
-            rows, cols = np.nonzero(agree)
-            a, b = left["least"].map(set), right["least"].map(set)
-            ln, rn = np.maximum(left["n_words"].to_numpy() - WORDS + 1, 1), np.maximum(right["n_words"].to_numpy() - WORDS + 1, 1)
+                fits &= ls[:, earlier, None] != rs[None, :, earlier]
+            differ = np.abs(ln[:, None] - rn[None, :])
+            most = np.floor(np.maximum(ln[:, None], rn[None, :]) * (1 - threshold) + 1e-9)
+            rows, cols = np.nonzero(fits & (differ <= most))
+            lb, rb = np.array(left["bag"].tolist(), np.int16), np.array(right["bag"].tolist(), np.int16)
             lm, rm = left["mark"], right["mark"]
-            for i, j in zip(rows, cols):
-                longer = max(ln[i], rn[j])
-                if len(a[i] & b[j]) >= min(LEAST, longer) * (threshold / (1 + threshold) * (ln[i] + rn[j]) / longer - MARGIN):
-                    found.append((min(lm[i], rm[j]), max(lm[i], rm[j])))
+            for at in range(0, len(rows), PAIRS):
+                i, j = rows[at : at + PAIRS], cols[at : at + PAIRS]
+                alone = np.abs(lb[i] - rb[j]).sum(1)
+                good = alone + differ[i, j] <= 2 * most[i, j]
+                found += [(min(lm[p], rm[q]), max(lm[p], rm[q])) for p, q in zip(i[good], j[good])]
         return pd.DataFrame(sorted(set(found)), columns=["a", "b"])
 
     blocked = large.groupBy("band", "value", "x", "y").applyInPandas(compare, "a binary, b binary")

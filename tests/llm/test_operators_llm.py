@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import zlib
 from collections import Counter
+from hashlib import blake2b
 
 import numpy as np
 import public_tokenizers
@@ -253,6 +254,43 @@ def test_classes_are_joined_across_a_bucket(spark, monkeypatch):
         assert {r.class_id for r in got} == {0}
 
 
+def test_two_members_of_a_mixed_bucket_that_share_one_band_are_linked(spark, monkeypatch):
+    """Scattered edits leave few common bands, and the bucket's head is unlike both texts."""
+    rng = random.Random(12)
+    rows, want = [], {}
+    while len(rows) < 12:
+        a = [f"w{rng.randrange(10**5)}" for _ in range(300)]
+        b = edited(rng, a, 36)
+        sa, sb = order_minhash.sketch(a, 16, 3), order_minhash.sketch(b, 16, 3)
+        bands = np.flatnonzero(sa == sb)
+        if not 1 <= len(bands) <= 2:
+            continue
+        band = int(bands[0])
+        # The three shingles of the band, in text order, start a text that is otherwise unlike.
+        keys = order_minhash.shingles(a)
+        value = (order_minhash.mix(keys + order_minhash.occurrences(keys)) ^ order_minhash._SEEDS[band]) * order_minhash._PRIMES[1]
+        value ^= value >> np.uint64(32)
+        start = [w for at in sorted(np.argsort(value)[:3]) for w in a[at : at + 5]]
+        low = min(mark_of(a), mark_of(b))
+        for _ in range(3000):
+            head = start + [f"h{rng.randrange(10**6)}" for _ in range(20)]
+            if mark_of(head) < low and order_minhash.sketch(head, 16, 3)[band] == sa[band]:
+                break
+        else:
+            continue
+        n = len(rows)
+        rows += [(n, " ".join(head)), (n + 1, " ".join(a)), (n + 2, " ".join(b))]
+        want.update({n: n, n + 1: n + 1, n + 2: n + 1})
+    for small in (64, 1):
+        monkeypatch.setattr(order_minhash, "SMALL", small)
+        got = order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {r.doc_id: r.class_id for r in got} == want
+
+
+def mark_of(words):
+    return blake2b(" ".join(words).encode(), digest_size=16).digest()
+
+
 # -- packing --------------------------------------------------------------------------
 def test_packing_round_trip_and_bound(spark, docs):
     tokenizer = Tokenizer.from_file(BPE)
