@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -31,10 +32,35 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
 STEMS = (4, 5, 6)  # lengths of the word fronts that are features beside the whole words
 
 
+def whole_words(text: str | None) -> set[str]:
+    return set(WORD.findall(text.lower())) if text else set()
+
+
+def with_fronts(words: set[str]) -> set[str]:
+    return words.union(*[{"^" + w[:k] for w in words if len(w) >= k} for k in STEMS])
+
+
 def words_of(text: str | None) -> set[str]:
     """The words of a text and their fronts, marked, so that a stem counts whatever its ending."""
-    words = set(WORD.findall(text.lower())) if text else set()
-    return words.union(*[{"^" + w[:k] for w in words if len(w) >= k} for k in STEMS])
+    return with_fronts(whole_words(text))
+
+
+Swap = tuple[tuple[int, ...], tuple[int, ...]]  # features that go, features that come
+
+
+def swaps_of(words: set[str], groups: Sequence[Sequence[str]], at: Mapping[str, int]) -> list[Swap]:
+    """What each swap of an identity term for another of its group, or for nothing, changes in the features.
+
+    The features are those of the whole text: a front that another word has too stays.
+    """
+    have, out = with_fronts(words), []
+    for group in groups:
+        for term in (t for t in group if t in words):
+            for other in [t for t in group if t not in words] + [None]:
+                then = with_fronts(words - {term} | ({other} if other else set()))
+                known = lambda features: tuple(sorted(at[f] for f in features if f in at))
+                out.append((known(have - then), known(then - have)))
+    return out
 
 
 class ToxicModel:
@@ -56,13 +82,16 @@ def fit_counterfactual(
     swap_penalty: float,
     sparsity: float,
     steps: int = 1000,
+    swaps: Mapping[Swap, int] | None = None,
 ) -> ToxicModel:
     """Logistic regression by accelerated proximal gradient.
 
     Loss: balanced log loss + ``swap_penalty`` times the mean squared change of
     the score (before the logistic) when an identity term of a sentence is
-    swapped for another of its group or left out + ``sparsity`` times the sum of
-    the weights. Weights are not negative: a word may speak for toxicity, but no
+    swapped for another of its group or left out, its fronts with it, +
+    ``sparsity`` times the sum of the weights. ``swaps`` says how often a swap
+    changes which features; without it the words of a sample are taken to be
+    those that the vocabulary has. Weights are not negative: a word may speak for toxicity, but no
     wealth of harmless words excuses it, however long the text. The words that this leaves are fitted once more without
     the last term, which shrinks large weights, but for a slight ``RIDGE``.
     """
@@ -75,29 +104,23 @@ def fit_counterfactual(
     cols = np.array([c for _, f in samples for c in f], np.int64)
     share = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (n - labels.sum()))
     at = {w: i for i, w in enumerate(vocabulary)}
-    changes: dict[tuple[int, int], float] = {}  # (term out, term in or -1) -> how often
-    for _, found in samples:
-        have = set(found)
-        for group in groups:
-            terms = [at[t] for t in group if t in at]
-            for out in (t for t in terms if t in have):
-                for other in [t for t in terms if t not in have] + [-1]:
-                    changes[out, other] = changes.get((out, other), 0) + 1
-    out = np.array([k[0] for k in changes], np.int64)
-    into = np.array([k[1] for k in changes], np.int64)
-    often = np.array(list(changes.values()), float)
-    often /= max(1.0, often.sum())
-    kept = into >= 0
+    if swaps is None:
+        swaps = Counter(change for _, found in samples for change in swaps_of({vocabulary[c] for c in found if vocabulary[c][0] != "^"}, groups, at))
+    changes = sorted((change, n) for change, n in swaps.items() if change[0] or change[1])
+    often = np.array([n for _, n in changes], float)
+    often /= max(1.0, float(sum(swaps.values())))
+    change = np.repeat(np.arange(len(changes)), [len(gone) + len(come) for (gone, come), _ in changes])
+    moving = np.array([c for (gone, come), _ in changes for c in gone + come], np.int64)
+    sign = np.array([x for (gone, come), _ in changes for x in [1.0] * len(gone) + [-1.0] * len(come)])
 
     def gradient(w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
         z = b + np.bincount(rows, w[cols], n)
         off = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels)
         g = np.bincount(cols, off[rows], width)
-        if len(out):
-            moved = w[out] - np.where(kept, w[into], 0)
+        if len(changes):
+            moved = np.bincount(change, sign * w[moving], len(changes))
             push = 2 * swap_penalty * often * moved
-            g += np.bincount(out, push, width)
-            g -= np.bincount(into[kept], push[kept], width)
+            g += np.bincount(moving, sign * push[change], width)
         return g, float(off.sum())
 
     # A bound of the curvature: rows weigh share/4 and have at most their own number of words.
@@ -109,7 +132,9 @@ def fit_counterfactual(
         probe = np.bincount(cols, z[rows], width)
         top = float(np.linalg.norm(probe)) or 1.0
         probe /= top
-    rate = 1 / (1.2 * top + 0.25 + 4 * swap_penalty * (float(often.max()) * (1 + len(often)) if len(often) else 0) + 1e-9 * sizes.max())
+    # A bound of the penalty's curvature: the largest sum of a row of its matrix.
+    bend = float(np.bincount(moving, (often * np.bincount(change, minlength=len(changes)))[change], width).max()) if len(changes) else 0.0
+    rate = 1 / (1.2 * top + 0.25 + 2 * swap_penalty * bend + 1e-9 * sizes.max())
 
     def descend(allowed: np.ndarray, sparse: float, ridge: float) -> tuple[np.ndarray, float]:
         w, b = np.zeros(width), 0.0
@@ -176,11 +201,19 @@ def train(
     at = {w: i for i, w in enumerate(vocabulary)}
 
     def encode():
-        return lambda columns: {"toxic": columns[0], "found": [sorted(at[w] for w in words_of(t) & at.keys()) for t in columns[1]]}
-
-    # Bounded for the driver: the drawn rows times the size of the vocabulary.
-    samples = sorted((r["toxic"], list(r["found"])) for r in map_rows(rows, encode, "toxic int, found array<int>").toLocalIterator())
-    return fit_counterfactual(samples, vocabulary, groups, swap_penalty, sparsity)
+        def step(columns: list) -> dict:
+            words = [whole_words(t) for t in columns[1]]
+            swaps = [[{"gone": gone, "come": come} for gone, come in swaps_of(w, groups, at)] for w in words]
+            return {"toxic": columns[0], "found": [sorted(at[w] for w in with_fronts(ws) & at.keys()) for ws in words], "swaps": swaps}
+
+        return step
+
+    # Bounded for the driver: the drawn rows times the size of the vocabulary, and the swaps of the terms.
+    samples, swaps = [], Counter()
+    for r in map_rows(rows, encode, "toxic int, found array<int>, swaps array<struct<gone:array<int>,come:array<int>>>").toLocalIterator():
+        samples.append((r["toxic"], list(r["found"])))
+        swaps.update((tuple(x["gone"]), tuple(x["come"])) for x in r["swaps"])
+    return fit_counterfactual(sorted(samples), vocabulary, groups, swap_penalty, sparsity, swaps=swaps)
 
 
 def toxicity(

@@ -191,6 +191,24 @@ def test_swapping_identity_terms_is_penalised():
     assert held.score("idiot") > 0.7
 
 
+def test_fronts_of_identity_terms_are_swapped_with_them(spark):
+    """Toxic labels mention one group more often; the weight must not move to the fronts of its terms."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(600):
+        bad = i % 2
+        words = ["idiot"] * (bad and rng.random() < 0.6) + ["muslim" if rng.random() < (0.9 if bad else 0.1) else "christian"]
+        rows.append((i, " ".join(words + [rng.choice(["nice", "day", "walk"])]), bad))
+    table = spark.createDataFrame(rows, "doc_id int, text string, toxic int")
+    train = lambda penalty: toxicity.train(table.select("doc_id", "text"), table.select("doc_id", "toxic"), "doc_id", "text", "toxic", toxicity.IDENTITY_TERMS, 2000, 4096, penalty, 1e-3, None)
+    logit = lambda p: np.log(p / (1 - p))
+    gap = lambda m: abs(logit(m.score("a muslim on a walk")) - logit(m.score("a christian on a walk")))
+    assert gap(train(5.0)) < 0.4 < gap(train(0.0))
+    at = {w: i for i, w in enumerate(["^musl", "^musli", "christian", "muslim"])}
+    gone = [c for c in toxicity.swaps_of({"muslim", "muslin"}, (("muslim", "christian"),), at)]
+    assert gone == [((3,), (2,)), ((3,), ())]  # the other word keeps the fronts
+
+
 # -- near duplicates ------------------------------------------------------------------
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
