@@ -27,7 +27,13 @@ SHAPES = {
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
     "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{3})[ .-][0-9]{3}[ .-]?[0-9]{4}(?![0-9])|\+[0-9]{8,15}(?![0-9])",
 }
-ANY = "|".join(SHAPES.values())
+# Valid cards and accounts are marked before, so that those which fail their check hide nothing.
+ANY = "|".join(shape for kind, shape in SHAPES.items() if kind not in ("iban", "card"))
+# Runs of digits and of capitals in which cards and accounts stand between neighbours; no end is fixed yet.
+CARD_RUN = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,}+(?![0-9])"
+IBAN_RUN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]*+(?![A-Za-z0-9])(?: [A-Z0-9]++(?![A-Za-z0-9]))*+"
+# How cards are written in groups; such a span comes before all others of several groups.
+GROUPED = r"^(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})$"
 DAYS = (189, 773)  # 400 years have 189 * 773 days
 FIRST_DAY = "1700-01-01"
 
@@ -208,16 +214,18 @@ def email(text: Column, key: str, back: bool) -> Column:
     return F.concat(characters(rest, key, "email", back), top)
 
 
+def remainder(chars: Column) -> Column:
+    """Capitals and digits modulo 97, letters read as 10 to 35."""
+    number = lambda c: F.when(c.rlike("^[0-9]$"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55).cast("long")
+    step = lambda a, c: F.when(number(c) > 9, (a * 100 + number(c)) % 97).otherwise((a * 10 + number(c)) % 97)
+    return F.aggregate(F.split(chars, ""), F.lit(0).cast("long"), step)
+
+
 def iban(text: Column, key: str, back: bool) -> Column:
     """An account number that passes the mod-97 check: the account is permuted, the check digits follow."""
     packed = F.regexp_replace(text, " ", "")
     country, account = F.substring(packed, 1, 2), F.substring(packed, F.lit(5), F.length(packed))
 
-    def remainder(chars: Column) -> Column:
-        number = lambda c: F.when(c.rlike("^[0-9]$"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55).cast("long")
-        step = lambda a, c: F.when(number(c) > 9, (a * 100 + number(c)) % 97).otherwise((a * 10 + number(c)) % 97)
-        return F.aggregate(F.split(chars, ""), F.lit(0).cast("long"), step)
-
     def renew(account_: Column) -> Column:
         check = F.lpad((98 - remainder(F.concat(account_, country, F.lit("00")))).cast("string"), 2, "0")
         fresh = F.concat(country, check, account_)
@@ -240,6 +248,63 @@ def iban(text: Column, key: str, back: bool) -> Column:
 MAKERS = {"email": email, "iban": iban, "date": date, "ip": ip, "ssn": ssn, "card": card, "phone": phone}
 
 
+def card_fits(text: Column) -> Column:
+    """Whether a text is a number of 13 to 19 digits that passes the Luhn check."""
+    return text.rlike(f"^{SHAPES['card']}$") & let(digits_of(text), lambda d: luhn_sum(d) % 10 == 0)
+
+
+def iban_fits(text: Column) -> Column:
+    packed = F.regexp_replace(text, " ", "")
+    return text.rlike(f"^{SHAPES['iban']}$") & (remainder(F.concat(F.substring(packed, F.lit(5), F.length(packed)), F.substring(packed, 1, 4))) == 1)
+
+
+def mark_spans(run: Column, token: str, reach: int, fits: Callable[[Column, Column], Column]) -> Column:
+    """``run`` with marks around the spans from token to token that fit, the first and of these the longest first.
+
+    A span has at most ``reach`` tokens and separators. Marked spans of an earlier pass are single tokens and stay.
+    """
+    tokens = F.regexp_extract_all(run, F.lit(f"({OPEN}[^{OPEN}]*{OPEN}|{token}|[^0-9A-Z{OPEN}])"), F.lit(1))
+
+    def walk(parts: Column) -> Column:
+        start = F.struct(F.lit("").alias("out"), F.lit(1).alias("next"))
+        size = F.size(parts)
+
+        def step(state: Column, at: Column) -> Column:
+            ends = F.reverse(F.sequence(at, F.least(at + F.lit(reach - 1), size)))
+            span = lambda end: F.array_join(F.slice(parts, at, end - at + 1), "")
+            own = F.get(parts, at - 1)
+            # The first end that fits, 0 if there is none.
+            found = F.when(own.rlike("^[0-9A-Z]"), F.coalesce(F.get(F.filter(ends, lambda e: fits(span(e), run)), F.lit(0)), F.lit(0))).otherwise(F.lit(0))
+
+            def take(end: Column) -> Column:
+                hit = F.struct(F.concat(state["out"], F.lit(OPEN), span(end), F.lit(OPEN)).alias("out"), (end + 1).cast("int").alias("next"))
+                miss = F.struct(F.concat(state["out"], own).alias("out"), (at + 1).cast("int").alias("next"))
+                return F.when(end > 0, hit).otherwise(miss)
+
+            return F.when(at < state["next"], state).otherwise(let(found, take))
+
+        return F.aggregate(F.sequence(F.lit(1), size), start, step, lambda state: state["out"])
+
+    return let(tokens, walk)
+
+
+def mark_cards(run: Column) -> Column:
+    """Marks the cards in a run of digits: unbroken ones, then those in the usual groups, then all other spans.
+
+    A span of the last kind that is not the whole run holds no date, social
+    security or telephone number.
+    """
+    other = "|".join(SHAPES[kind] for kind in ("date", "ssn", "phone"))
+    whole = mark_spans(run, "[0-9]+", 1, lambda span, _: card_fits(span))
+    grouped = let(whole, lambda r: mark_spans(r, "[0-9]+", 7, lambda span, _: span.rlike(GROUPED) & card_fits(span)))
+    return let(grouped, lambda r: mark_spans(r, "[0-9]+", 37, lambda span, all_: card_fits(span) & ((span == all_) | ~span.rlike(other))))
+
+
+def mark_ibans(run: Column) -> Column:
+    """Marks the accounts in a run of capitals and digits."""
+    return mark_spans(run, "[0-9A-Z]+", 19, lambda span, _: iban_fits(span))
+
+
 def pseudonym(value: Column, key: str, back: bool = False) -> Column:
     """The pseudonym of one found value, or null if it is not valid; the first shape that fits decides."""
     first, *others = SHAPES
@@ -256,7 +321,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", back: bool =
     E-mail addresses, IP addresses, telephone numbers, social security numbers,
     payment cards (Luhn), bank accounts (mod 97) and dates (in the calendar, 1700
     to 2099) are replaced wherever they stand in the whole text; what fails its
-    check stays. The same value has the same pseudonym in every row, and ``back``
+    check stays. Cards and accounts are looked for from token to token in whole
+    runs of digits or capitals, so a number or word beside one does not hide it. The same value has the same pseudonym in every row, and ``back``
     with the same key restores the texts. No shuffle: each row is mapped alone, by
     column expressions.
 
@@ -267,7 +333,22 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", back: bool =
     text = F.col(text_col).cast("string")
     # Marks that occur in a text are told apart from ours by an escape, undone at the end.
     safe = F.replace(F.replace(text, F.lit(ESCAPE), F.lit(ESCAPE + "b")), F.lit(OPEN), F.lit(ESCAPE + "a"))
-    marked = F.regexp_replace(safe, f"(?:{ANY})", f"{OPEN}$0{OPEN}")
+
+    def within(whole: Column, shapes: list[str], run: str, mark: Callable[[Column], Column]) -> Column:
+        """Marks what ``mark`` finds in the runs of a text; the other shapes are passed over, marks stay."""
+        found = F.regexp_replace(whole, f"{OPEN}([^{OPEN}]*){OPEN}|({'|'.join([*shapes, run])})", f"{OPEN}$1$2{OPEN}")
+
+        def spans(pieces: Column) -> Column:
+            inside = lambda p: F.when(iban_fits(p), F.concat(F.lit(OPEN), p, F.lit(OPEN))).when(p.rlike(f"^(?:{run})$"), mark(p)).otherwise(p)
+            return F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 1, inside(p)).otherwise(p)), "")
+
+        return F.when(whole.rlike(run), let(F.split(found, OPEN, -1), spans)).otherwise(whole)
+
+    accounts = lambda t: within(t, [SHAPES["email"]], IBAN_RUN, mark_ibans)
+    cards = lambda t: within(t, [SHAPES[kind] for kind in ("email", "date", "ip", "ssn")], CARD_RUN, mark_cards)
+    bounded = let(accounts(safe), cards)
+    # Marked spans stay as they are, all other shapes are found around them.
+    marked = F.regexp_replace(bounded, f"{OPEN}([^{OPEN}]*){OPEN}|({ANY})", f"{OPEN}$1$2{OPEN}")
 
     def rebuild(pieces: Column) -> Column:
         # Found values stand at the odd places.

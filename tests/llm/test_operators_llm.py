@@ -112,6 +112,20 @@ def test_pseudonyms_keep_formats_link_and_come_back(spark):
     assert all(other[i] != got[i].text for i in range(len(PII)))
 
 
+def test_cards_and_accounts_beside_other_numbers_are_found(spark):
+    card, apart, account = "4111111111111111", "4111 1111 1111 1111", "ES9121000418450200051332"
+    texts = [card, f"{card} 12 items", f"12 {card}", apart, f"{apart} 123", f"1234 {apart}", account, f"{account} BIC", f"{account} 2024", "ES91 2100 0418 4502 0005 1332", "ES91 2100 0418 4502 0005 1332 2024", f"on {card} 2024-02-29"]
+    done = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), "secret")
+    got = [r.text for r in done.orderBy("doc_id").collect()]
+    one, two, three, four = got[0], got[3], got[6], got[9]
+    assert got[1:3] == [f"{one} 12 items", f"12 {one}"] and got[4:6] == [f"{two} 123", f"1234 {two}"]
+    assert got[7:9] == [f"{three} BIC", f"{three} 2024"] and got[10] == f"{four} 2024"
+    assert got[11].startswith(f"on {one} ") and "2024-02-29" not in got[11]
+    assert not {one, two, three, four} & set(texts)
+    back = [r.text for r in pii.pseudonymise(done, "secret", back=True).orderBy("doc_id").collect()]
+    assert back == texts
+
+
 def test_feistel_is_a_permutation(spark):
     all_values = spark.range(189).crossJoin(spark.range(20).withColumnRenamed("id", "low"))
     moved = all_values.select(pii.feistel(F.array("id", "low"), F.array(F.lit(189).cast("long"), F.lit(20).cast("long")), "k", "x").alias("m"))
