@@ -320,7 +320,13 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", back: bool =
 
     E-mail addresses, IP addresses, telephone numbers, social security numbers,
     payment cards (Luhn), bank accounts (mod 97) and dates (in the calendar, 1700
-    to 2099) are replaced wherever they stand in the whole text; what fails its
+    to 2099) are replaced wherever they stand in the whole text, in these formats:
+    telephone numbers as ``555-123-4567``, ``555.123 4567`` or ``555-1234567`` with
+    a separator after the area (two to four digits if in brackets, else three),
+    after ``+`` and a country code or not, or as ``+`` and 8 to 15 unbroken digits;
+    dates as ``2023-12-25``, ``25/12/2023`` or ``25.12.2023``. Not covered are
+    ``(555)123-4567``, ``+44 20 7946 0958``, ``5551234567``, ``2023/12/25`` and
+    month-first ``12/25/2023``. What fails its
     check stays. Cards and accounts are looked for from token to token in whole
     runs of digits or capitals, so a number or word beside one does not hide it. The same value has the same pseudonym in every row, and ``back``
     with the same key restores the texts. No shuffle: each row is mapped alone, by
