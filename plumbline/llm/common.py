@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,25 +57,16 @@ def unit_hash(*columns: str | Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 11).cast("double") / F.lit(float(1 << 53))
 
 
-def sample_by_class(rows: DataFrame, label: str, per_class: int, max_classes: int = 64) -> DataFrame:
-    """At most about ``per_class`` rows of each class, drawn by a hash of the row.
+def sample_by_class(rows: DataFrame, label: str, per_class: int) -> DataFrame:
+    """About ``per_class`` rows of every class, drawn by a hash of the row; all of a smaller class.
 
-    ``rows`` holds keys and labels only, never texts. The result is bounded by
-    ``1.2 * per_class * max_classes`` rows whatever the input, so it may be
-    broadcast. Classes beyond the ``max_classes`` most frequent are not learned.
+    ``rows`` holds distinct keys and labels only, never texts. The result has
+    about ``per_class`` times the number of classes rows whatever the size of
+    the input, so it may be broadcast. Rows without a label are not drawn.
     """
-    counts = rows.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    found = counts.orderBy(F.desc("n"), label).limit(max_classes).collect()
-    if not found:
-        return rows.limit(0)
+    counts = rows.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
     draw = unit_hash(*[F.col(c) for c in rows.columns])
-    rate = reduce(
-        lambda rest, r: F.when(F.col(label) == F.lit(r[label]), F.lit(min(1.0, per_class / r["n"]))).otherwise(rest),
-        found,
-        F.lit(0.0),
-    )
-    cap = int(1.2 * per_class * len(found)) + 1
-    return rows.where(draw < rate).orderBy(draw).limit(cap)
+    return rows.join(counts, label).where(draw < F.least(F.lit(1.0), F.lit(float(per_class)) / F.col("__n"))).select(rows.columns)
 
 
 def components(edges: DataFrame, scratch: Scratch, src: str = "src", dst: str = "dst") -> DataFrame:

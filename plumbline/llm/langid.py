@@ -116,8 +116,8 @@ def identify(
 ) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of every whole text; one row per input row.
 
-    Learns from at most about ``per_language`` labelled rows of each of the 64
-    most frequent languages, never from rows of the held-out ``fold`` (divisor,
+    Learns from at most about ``per_language`` labelled rows of every
+    language, never from rows of the held-out ``fold`` (divisor,
     remainder of crc32 of the id); the model is 64 Ki hashed n-grams times the number
     of languages. ``score`` is the winner's regression output, cut to 0..1.
 

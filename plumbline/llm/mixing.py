@@ -57,7 +57,7 @@ def fit_domains(counts: list[tuple[str, np.ndarray]], prior: Mapping[str, float]
 def train(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, domain_col: str, per_domain: int) -> DomainModel | None:
     keys = labelled.select(F.col(id_col).alias("doc_id"), F.col(domain_col).cast("string").alias("domain"))
     keys = keys.where("doc_id IS NOT NULL AND domain IS NOT NULL")
-    prior = {r["domain"]: r["n"] for r in keys.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "domain").limit(64).collect()}
+    prior = {r["domain"]: r["n"] for r in keys.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not prior:
         return None
     drawn = sample_by_class(keys.dropDuplicates(["doc_id"]), "domain", per_domain)
@@ -128,8 +128,8 @@ def mixing_rates(
     """Nonnegative rates that bring the expected tokens of the domains to ``weights``.
 
     ``labelled`` names the domain of some documents (``id_col, domain_col``). A
-    classifier learned from at most about ``per_domain`` of them in each of the 64
-    most frequent domains gives every document posteriors. The
+    classifier learned from at most about ``per_domain`` of them in every
+    domain gives every document posteriors; it holds 512 KiB for each domain. The
     rates minimise the squared error of the expected domain totals
     ``sum(rate * tokens * posterior)`` against the targets, relative to the
     totals, plus ``stay`` times the squared distance from 1, weighted by tokens.

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from plumbline.llm import langid, line_dedup, mixing, order_minhash, packing, pii, suffix_repeats, toxicity, unigram_count
-from plumbline.llm.common import Scratch, components
+from plumbline.llm.common import Scratch, components, sample_by_class
 from plumbline.llm.embedding_dedup import near_duplicate_vectors
 
 SF = "/root/testdata/sf0.01"
@@ -166,6 +166,14 @@ def test_keep_all_never_shrinks(spark, docs):
     assert min(r.mix_rate for r in rows) > 0.9
 
 
+def test_more_than_64_domains_are_learned(spark):
+    keys = spark.createDataFrame([(f"{d}-{i}", f"d{d:02d}") for d in range(70) for i in range(3 if d else 50)], "doc_id string, domain string")
+    drawn = {r["domain"]: r["count"] for r in sample_by_class(keys, "domain", 10).groupBy("domain").count().collect()}
+    assert len(drawn) == 70 and all(n == 3 for d, n in drawn.items() if d != "d00") and drawn["d00"] < 25
+    model = mixing.train(keys.select("doc_id", F.col("domain").alias("text")), keys, "doc_id", "text", "domain", 10)
+    assert len(model.domains) == 70
+
+
 # -- language and toxicity, held out -------------------------------------------------
 def test_language_held_out_accuracy(docs):
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
