@@ -69,6 +69,11 @@ def sample_by_class(rows: DataFrame, label: str, per_class: int) -> DataFrame:
     return rows.join(counts, label).where(draw < F.least(F.lit(1.0), F.lit(float(per_class)) / F.col("__n"))).select(rows.columns)
 
 
+def one_text_each(texts: DataFrame, drawn: DataFrame, label: str) -> DataFrame:
+    """``doc_id``, label and one text of each drawn id, the one of least digest, however many rows the id has."""
+    return texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", label).agg(F.min_by("text", F.md5("text")).alias("text"))
+
+
 def components(edges: DataFrame, scratch: Scratch, src: str = "src", dst: str = "dst") -> DataFrame:
     """``node, component`` of every node with an edge; a component is named by its smallest node.
 

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import crc_mod, map_rows, sample_by_class
+from plumbline.llm.common import crc_mod, map_rows, one_text_each, sample_by_class
 
 BUCKETS = 1 << 16  # hashed n-grams; a text's presence set is at most this large
 SPECTRUM = (1, 2, 3, 4)
@@ -88,7 +88,7 @@ def train(
         keys = keys.where(crc_mod("doc_id", fold[0]) != fold[1])
     drawn = sample_by_class(keys.dropDuplicates(["doc_id"]), "lang", per_language)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.where(F.col("text").isNotNull()).join(F.broadcast(drawn), "doc_id").select("doc_id", "lang", "text")
+    rows = one_text_each(texts.where(F.col("text").isNotNull()), drawn, "lang").select("doc_id", "lang", "text")
 
     def make():
         def step(columns: list) -> dict:
@@ -97,7 +97,7 @@ def train(
 
         return step
 
-    # Bounded for the driver: 8 KiB for each drawn row, whatever its length.
+    # Bounded for the driver: 8 KiB for each drawn id, whatever its length.
     found = map_rows(rows, make, f"doc_id {dict(docs.dtypes)[id_col]}, lang string, bits binary").toLocalIterator()
     samples = sorted(((str(r["doc_id"]), r["lang"], bytes(r["bits"])) for r in found), key=lambda r: (len(r[0]), r[0], r[2]))
     unpack = lambda bits: np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8)))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import crc_mod, map_rows, sample_by_class
+from plumbline.llm.common import crc_mod, map_rows, one_text_each, sample_by_class
 from plumbline.session import ship_package
 
 WORD = re.compile(r"\w+")
@@ -176,7 +176,7 @@ def train(
     keys = keys.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     drawn = sample_by_class(keys, "toxic", per_class)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(drawn), "doc_id").select("toxic", "text")
+    rows = one_text_each(texts, drawn, "toxic").select("toxic", "text")
 
     def split():
         return lambda columns: {"toxic": columns[0], "words": [sorted(words_of(t)) for t in columns[1]]}
@@ -208,7 +208,7 @@ def train(
 
         return step
 
-    # Bounded for the driver: the drawn rows times the size of the vocabulary, and the swaps of the terms.
+    # Bounded for the driver: the drawn ids times the size of the vocabulary, and the swaps of the terms.
     samples, swaps = [], Counter()
     for r in map_rows(rows, encode, "toxic int, found array<int>, swaps array<struct<gone:array<int>,come:array<int>>>").toLocalIterator():
         samples.append((r["toxic"], list(r["found"])))

@@ -174,6 +174,14 @@ def test_more_than_64_domains_are_learned(spark):
     assert len(model.domains) == 70
 
 
+def test_a_repeated_id_gives_one_text_to_learn_from(spark, monkeypatch):
+    rows = [(1, f"the house number {i} is old", "en") for i in range(200)] + [(i, "das Haus ist alt", "de") for i in range(2, 8)]
+    seen = []
+    monkeypatch.setattr(langid, "fit_kernel", lambda samples, *_: seen.extend(samples))
+    langid.train(spark.createDataFrame(rows, "doc_id int, text string, lang string"), "doc_id", "text", "lang", 300, 8, 0.05, None)
+    assert len(seen) == 7
+
+
 # -- language and toxicity, held out -------------------------------------------------
 def test_language_held_out_accuracy(docs):
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
