@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.decontamination import find_leaks
 from plumbline.llm.embedding_dedup import near_duplicate_vectors
+from plumbline.llm.hard_negatives import hard_negatives
 from plumbline.llm.langid import identify
+from plumbline.llm.lexical import search
 from plumbline.llm.line_dedup import line_dedup
 from plumbline.llm.mixing import mixing_rates
 from plumbline.llm.order_minhash import near_duplicates
@@ -87,7 +90,39 @@ def op10_unigram_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), piece_model)
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_pii_pseudonyms, op3_mixing, op4_language_id, op5_toxicity, op6_order_minhash, op7_packing, op8_suffix_repeats, op9_line_dedup, op10_unigram_count)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = F.sha2(F.concat_ws(",", "items"), 256)
+    return done.select("doc_id", "n_words", "n_hit", "n_items", found.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_embedding_dedup,
+        op2_pii_pseudonyms,
+        op3_mixing,
+        op4_language_id,
+        op5_toxicity,
+        op6_order_minhash,
+        op7_packing,
+        op8_suffix_repeats,
+        op9_line_dedup,
+        op10_unigram_count,
+        op11_hard_negatives,
+        op12_decontamination,
+        op13_lexical_search,
+    )
+}
 
 ORACLES = {
     # Every pair by brute force, then components by spreading the smallest id.
@@ -113,4 +148,42 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, c
        (SELECT count(*) FROM gone g WHERE g.k = d.k) AS n_removed,
        CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text
 FROM docs d LEFT JOIN kept ON kept.k = d.k""",
+    # Every anchor against every row; positives and windows as they are defined.
+    "op11_hard_negatives": """
+WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS q
+           FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     scored AS (SELECT a.id AS anchor_id, v.id, v.label = a.label AS same, CAST(list_dot_product(a.q, v.q) AS BIGINT) AS score
+                FROM v a JOIN v ON a.id % 100 = 0 AND v.id <> a.id),
+     positive AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+                  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank,
+       s.id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positive p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score
+QUALIFY rank <= 5""",
+    # Windows as joined words, looked up at every place of every document.
+    "op12_decontamination": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+     b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+     windows AS (SELECT DISTINCT item_id, size, array_to_string(w[i : i + size - 1], ' ') AS words
+                 FROM (SELECT item_id, w, least(len(w), 10) AS size, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+     places AS (SELECT r, i, size, array_to_string(w[i : i + size - 1], ' ') AS words
+                FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size)),
+     hits AS (SELECT p.r, p.i, p.size, x.item_id FROM places p JOIN windows x USING (size, words)),
+     hit AS (SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + size)) AS pos FROM (SELECT DISTINCT r, i, size FROM hits)) GROUP BY r),
+     named AS (SELECT r, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS name FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN named USING (r)""",
+    "op13_lexical_search": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+     q AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+     corpus AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS length FROM d WHERE len(w) > 0),
+     tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY r, term),
+     df AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * (SELECT n_docs FROM corpus) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight FROM tf GROUP BY term),
+     lengths AS (SELECT r, doc_id, 100 - 75 + (CAST(75 * len(w) AS BIGINT) * n_docs) // length AS m FROM d, corpus WHERE len(w) > 0),
+     parts AS (SELECT r, term, doc_id, weight * ((1000000000 * tf) // (1000 * tf + 8 * m)) AS part FROM tf JOIN df USING (term) JOIN lengths USING (r)),
+     scores AS (SELECT item_id, r, doc_id, CAST(sum(part) AS BIGINT) AS score FROM q JOIN parts USING (term) GROUP BY item_id, r, doc_id HAVING sum(part) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores QUALIFY rank <= 10""",
 }
