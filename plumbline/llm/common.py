@@ -57,21 +57,29 @@ def unit_hash(*columns: str | Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 11).cast("double") / F.lit(float(1 << 53))
 
 
-def sample_by_class(rows: DataFrame, label: str, per_class: int) -> DataFrame:
+def sample_by_class(rows: DataFrame, label: str, per_class: int, max_classes: int = 1024) -> DataFrame:
     """About ``per_class`` rows of every class, drawn by a hash of the row; all of a smaller class.
 
     ``rows`` holds distinct keys and labels only, never texts. The result has
     about ``per_class`` times the number of classes rows whatever the size of
-    the input, so it may be broadcast. Rows without a label are not drawn.
+    the input, so it may be broadcast. Rows without a label are not drawn. The
+    counts, one row for each class, go to the rows, which are not shuffled. More
+    than ``max_classes`` classes are an error: the models grow with their number.
     """
     counts = rows.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
+    if counts.limit(max_classes + 1).count() > max_classes:
+        raise ValueError(f"more than {max_classes} classes in {label}; give max_classes, and memory, for more")
     draw = unit_hash(*[F.col(c) for c in rows.columns])
-    return rows.join(counts, label).where(draw < F.least(F.lit(1.0), F.lit(float(per_class)) / F.col("__n"))).select(rows.columns)
+    return rows.join(F.broadcast(counts), label).where(draw < F.least(F.lit(1.0), F.lit(float(per_class)) / F.col("__n"))).select(rows.columns)
 
 
 def one_text_each(texts: DataFrame, drawn: DataFrame, label: str) -> DataFrame:
-    """``doc_id``, label and one text of each drawn id, the one of least digest, however many rows the id has."""
-    return texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", label).agg(F.min_by("text", F.md5("text")).alias("text"))
+    """``doc_id``, label and one text of each drawn id, the one of least digest, however many rows the id has.
+
+    If ``texts`` has the label too, a text is only learned with the label of its own row.
+    """
+    on = ["doc_id", label] if label in texts.columns else ["doc_id"]
+    return texts.join(F.broadcast(drawn), on).groupBy("doc_id", label).agg(F.min_by("text", F.md5("text")).alias("text"))
 
 
 def components(edges: DataFrame, scratch: Scratch, src: str = "src", dst: str = "dst") -> DataFrame:

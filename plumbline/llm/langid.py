@@ -14,10 +14,15 @@ from plumbline.llm.common import crc_mod, map_rows, one_text_each, sample_by_cla
 
 BUCKETS = 1 << 16  # hashed n-grams; a text's presence set is at most this large
 SPECTRUM = (1, 2, 3, 4)
-LETTER = re.compile(r"[^\W\d_]")
+WORDLIKE = re.compile(r"[^\W\d_]+")
 BATCH = 32
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a character is a letter by its Unicode category; fractions, superscripts and circled digits are none."""
+    return bool(text) and any(any(map(str.isalpha, m.group())) for m in WORDLIKE.finditer(text))
+
+
 def presence(text: str) -> np.ndarray:
     """The hashed n-grams (code points, lower case, blended over ``SPECTRUM``) that a text has, once each."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -86,8 +91,8 @@ def train(
     keys = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang")).where("lang IS NOT NULL AND doc_id IS NOT NULL")
     if fold:
         keys = keys.where(crc_mod("doc_id", fold[0]) != fold[1])
-    drawn = sample_by_class(keys.dropDuplicates(["doc_id"]), "lang", per_language)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    drawn = sample_by_class(keys.distinct(), "lang", per_language)
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
     rows = one_text_each(texts.where(F.col("text").isNotNull()), drawn, "lang").select("doc_id", "lang", "text")
 
     def make():
@@ -123,7 +128,8 @@ def identify(
 
     Null texts and texts without a letter are ``und`` with score 0; so is all if
     nothing could be learned. Labels may be null; repeated rows and ties are
-    scored alike, ties between languages go to the first by name. A null id is
+    scored alike, ties between languages go to the first by name. An id with several
+    languages is learned once for each, with a text of that row. A null id is
     scored but never learned from. Extra columns are not read.
     """
     model = train(docs, id_col, text_col, lang_col, per_language, landmarks, ridge, fold)
@@ -146,7 +152,7 @@ def scorer(shared) -> Callable[[], Callable[[list], dict]]:
         def step(columns: list) -> dict:
             texts = columns[2]
             langs, scores = ["und"] * len(texts), [0.0] * len(texts)
-            live = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if model.languages else []
+            live = [i for i, t in enumerate(texts) if has_letter(t)] if model.languages else []
             for at in range(0, len(live), BATCH):
                 part = live[at : at + BATCH]
                 out = model.scores([presence(texts[i]) for i in part])

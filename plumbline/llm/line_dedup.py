@@ -23,7 +23,8 @@ def line_dedup(
     """Removes boilerplate: lines that appear on ``min_sites`` distinct sites or more.
 
     Every column of ``docs`` is kept; ``text_col`` becomes the text without the
-    removed lines, and ``n_lines`` and ``n_removed`` are added. The first
+    removed lines, and ``n_lines`` and ``n_removed`` are added (in place of input
+    columns of these names). The first
     occurrence of a boilerplate line (smallest id, then text and position) stays,
     so no wording is lost from the corpus.
 
@@ -71,7 +72,7 @@ def line_dedup(
     joined = docs.join(gone, row_key == F.col(GONE_ROW), "left")
     kept = F.when(F.col(GONE).isNull(), text).otherwise(F.array_join(without(F.split(text, "\n", -1), F.col(GONE)), "\n"))
     return joined.select(
-        *[kept.alias(c) if c == text_col else F.col(c) for c in docs.columns],
+        *[kept.alias(c) if c == text_col else F.col(c) for c in docs.columns if c.lower() not in ("n_lines", "n_removed")],
         F.when(text.isNull(), F.lit(0)).otherwise(F.size(F.split(text, "\n", -1))).alias("n_lines"),
         F.coalesce(F.size(F.col(GONE)), F.lit(0)).alias("n_removed"),
     )

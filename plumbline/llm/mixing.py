@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Scratch, crc_mod, map_rows, sample_by_class, unit_hash
+from plumbline.llm.common import Scratch, map_rows, one_text_each, sample_by_class, unit_hash
 
 BUCKETS = 1 << 16  # hashed byte trigrams
+ADDED = ("mix_tokens", "mix_posteriors", "mix_rate", "mix_copies")
 EVIDENCE = 6.0  # a text counts as so many independent trigrams, whatever its length
 
 
@@ -60,26 +61,30 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, doma
     prior = {r["domain"]: r["n"] for r in keys.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not prior:
         return None
-    drawn = sample_by_class(keys.dropDuplicates(["doc_id"]), "domain", per_domain)
+    # Of an id with several domains the first by name counts.
+    drawn = sample_by_class(keys.groupBy("doc_id").agg(F.min("domain").alias("domain")), "domain", per_domain)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    rows = texts.join(F.broadcast(drawn), "doc_id").select("domain", "text")
+    rows = one_text_each(texts, drawn, "domain").select("domain", "text")
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for domain, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = np.bincount(trigrams(text), minlength=BUCKETS).astype(float)
-                # Each document counts as much as any other, whatever its length.
-                totals[domain] = totals.get(domain, 0) + found / max(1.0, found.sum()) * 1000
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(totals), pa.string()), pa.array([t.tobytes() for t in totals.values()], pa.binary())], ["domain", "counts"]
-        )
+    def make():
+        def step(columns: list) -> dict:
+            out: dict[str, list] = {"domain": columns[0], "counts": []}
+            for text in columns[1]:
+                found, times = np.unique(trigrams(text), return_counts=True)
+                # Each document counts as much as any other, whatever its length; whole numbers add up alike in any order.
+                share = np.rint(times * (1e9 / max(1, times.sum()))).astype(np.int64)
+                out["counts"].append([{"at": a, "n": n} for a, n in zip(found.tolist(), share.tolist())])
+            return out
+
+        return step
 
-    # One row of 512 KiB for each task and domain, summed as they arrive.
-    summed: dict[str, np.ndarray] = {}
-    for r in rows.mapInArrow(gather, "domain string, counts binary").toLocalIterator():
-        summed[r["domain"]] = summed.get(r["domain"], 0) + np.frombuffer(bytes(r["counts"]))
-    return fit_domains(sorted(summed.items()), {d: prior[d] for d in prior})
+    # Summed on the executors; the driver gets one row for each domain and trigram, so at most ``BUCKETS`` rows a domain.
+    listed = map_rows(rows, make, "domain string, counts array<struct<at: int, n: long>>").select("domain", F.explode("counts").alias("c"))
+    summed = listed.groupBy("domain", "c.at").agg(F.sum("c.n").alias("n")).collect()
+    counts = {d: np.zeros(BUCKETS) for d in prior}
+    for r in summed:
+        counts[r["domain"]][r["at"]] = r["n"] / 1e6
+    return fit_domains(sorted(counts.items()), prior)
 
 
 def descend(tokens: np.ndarray, shares: np.ndarray, steps: np.ndarray, stay: float, rate: float) -> np.ndarray:
@@ -113,6 +118,17 @@ def totals_of(facts: DataFrame, domains: int, steps: np.ndarray, stay: float, ra
     return out
 
 
+@dataclass
+class Mix:
+    """What a mixing run reached: tokens of each domain before, wanted and after, steps taken, largest relative error left."""
+
+    before: dict[str, float] = field(default_factory=dict)
+    wanted: dict[str, float] = field(default_factory=dict)
+    after: dict[str, float] = field(default_factory=dict)
+    steps: int = 0
+    error: float = 0.0
+
+
 def mixing_rates(
     docs: DataFrame,
     labelled: DataFrame,
@@ -124,6 +140,7 @@ def mixing_rates(
     iterations: int = 24,
     stay: float = 1e-3,
     keep_all: bool = False,
+    report: Mix | None = None,
 ) -> DataFrame:
     """Nonnegative rates that bring the expected tokens of the domains to ``weights``.
 
@@ -138,10 +155,12 @@ def mixing_rates(
 
     ``weights`` maps domains to target shares, or is a function from the present
     shares to such a mapping; unnamed domains get 0. The total stays, or with
-    ``keep_all`` grows just so far that no domain has to shrink.
+    ``keep_all`` grows just so far that no domain has to shrink. It stops after
+    ``iterations`` steps or when all totals are met; ``report`` is filled with what was
+    reached and the largest error left.
 
     Result: every column of ``docs`` and ``mix_tokens, mix_posteriors (map),
-    mix_rate, mix_copies``. ``mix_copies`` is the rate rounded up or down by a
+    mix_rate, mix_copies`` (in place of input columns of these names). ``mix_copies`` is the rate rounded up or down by a
     hash of id and text with the fraction as its chance, so expected counts equal
     the rates. Tokens are runs of other than white space. Null and empty texts
     have none; they keep the prior as posteriors and rate 1. Repeated rows and
@@ -153,10 +172,11 @@ def mixing_rates(
     model = train(docs, labelled, id_col, text_col, domain_col, per_domain)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.unhex(F.md5(F.concat_ws("\n", F.coalesce(F.col(id_col).cast("string"), F.lit("")), text)))
+    own = [docs[c] for c in docs.columns if c.lower() not in ADDED]
     if model is None:
         none = F.create_map().cast("map<string,double>")
         words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
-        return docs.select("*", words.cast("long").alias("mix_tokens"), none.alias("mix_posteriors"), F.lit(1.0).alias("mix_rate"), F.lit(1).alias("mix_copies"))
+        return docs.select(*own, words.cast("long").alias("mix_tokens"), none.alias("mix_posteriors"), F.lit(1.0).alias("mix_rate"), F.lit(1).alias("mix_copies"))
     shared = spark.sparkContext.broadcast(model)
 
     def make():
@@ -191,6 +211,11 @@ def mixing_rates(
         steps = np.vstack([steps, error])
         if np.abs(error[goal > 0]).max(initial=0.0) < 1e-6:
             break
+    if report is not None:
+        after = totals_of(facts, n, steps, stay, rate)
+        of = lambda values: dict(zip(model.domains, (float(x) for x in values)))
+        report.before, report.wanted, report.after, report.steps = of(now), of(goal), of(after), len(steps)
+        report.error = float((np.abs(after - goal) / scale)[goal > 0].max(initial=0.0))
 
     def rates():
         def step(columns: list) -> dict:
@@ -209,6 +234,7 @@ def mixing_rates(
     rated = map_rows(facts, rates, "__mix_key binary, mix_tokens long, mix_posteriors map<string,double>, mix_rate double").dropDuplicates(["__mix_key"])
     joined = docs.join(rated, key == F.col("__mix_key"))
     # A hair over a whole number is rounding noise, not a chance of one more copy.
-    spare = F.col("mix_rate") - F.floor(F.col("mix_rate") + 1e-9)
-    copies = (F.floor(F.col("mix_rate") + 1e-9) + (unit_hash(F.lit(17), "__mix_key") < spare).cast("int")).cast("int")
-    return joined.select(*[docs[c] for c in docs.columns], "mix_tokens", "mix_posteriors", "mix_rate", copies.alias("mix_copies"))
+    rate_of = rated["mix_rate"]
+    spare = rate_of - F.floor(rate_of + 1e-9)
+    copies = (F.floor(rate_of + 1e-9) + (unit_hash(F.lit(17), "__mix_key") < spare).cast("int")).cast("int")
+    return joined.select(*own, *[rated[c] for c in ("mix_tokens", "mix_posteriors", "mix_rate")], copies.alias("mix_copies"))

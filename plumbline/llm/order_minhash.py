@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import Scratch, components, map_rows
 
 WORDS = 5  # words of a shingle
-BLOCK = 512  # members of a large mixed bucket that are compared at a time
+BLOCK = 512  # members of a mixed bucket that a task compares at a time
+BLOCK_WORDS = 1 << 20  # and about as many words
 _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
 
 BINS = 256  # word counts of a text are summed in so many bins by the hash of the word
-SMALL = 64  # members up to which a mixed bucket is paired directly
+PAIR_BINS = 1024  # bins of the counts of word pairs
 PAIRS = 4096  # pairs of a block whose bins are compared at a time
 
 
@@ -86,6 +87,13 @@ def bag(words: list[str]) -> np.ndarray:
     return np.minimum(counts, 127).astype(np.int8)
 
 
+def pair_bag(words: list[str]) -> np.ndarray:
+    """Number of neighbouring words in each of ``PAIR_BINS`` bins. An edit takes or adds at most two pairs each, so changes the counts by four at most."""
+    ids = np.fromiter(map(word_hash, words), np.uint64, len(words))
+    keys = mix(ids[:-1] * _PRIMES[0] + ids[1:] * _PRIMES[1])
+    return np.minimum(np.bincount((keys % np.uint64(PAIR_BINS)).astype(np.int64), minlength=PAIR_BINS), 32_767).astype(np.int16)
+
+
 def edit_distance(a: list, b: list, most: int) -> int:
     """Words to insert, delete or replace, or ``most + 1`` if it is over ``most``.
 
@@ -166,15 +174,18 @@ def near_duplicates(
     band more often.
 
     Rows with the same words are one node from the start. In each bucket all
-    members are compared with its smallest; where members of different classes
-    are left in a bucket, every two of them are aligned unless their lengths or
-    their words, counted in ``BINS`` bins, take more edits than a link may have:
-    inside a join in small buckets, by blocks of members in large ones. Both are
-    bounds, not estimates, so no link between two members of a bucket is missed.
-    Pairs within a class are never emitted, no bucket is cut off, and texts of
-    any length are aligned whole. Repeated rows fall together, a null text is a
-    text without words, an empty table gives an empty result and columns beyond
-    id and text are not read.
+    members are compared with its smallest. Where members of different classes are
+    left in a bucket, blocks of at most about ``BLOCK`` members compare them inside
+    a task: first each block by itself, then the members outside the class of the
+    bucket's smallest with all other blocks. A task aligns every two members of
+    different classes unless their lengths, their words or their neighbouring
+    words, counted in bins, take more edits than a link may have. These are bounds,
+    not estimates, so no link between two members of a bucket is missed. Classes
+    that meet in the task are one from then on, so it aligns no more of their pairs
+    and sends no more than one link a member: no pairs are rows. No bucket is cut
+    off, and texts of any length are aligned whole. Repeated rows fall together, a
+    null text is a text without words, an empty table gives an empty result and
+    columns beyond id and text are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "orderminhash")
@@ -193,11 +204,11 @@ def near_duplicates(
     )
     links = scratch.table(verify(tried, texts, rows, threshold, scratch), "links")
     classes = components(links, scratch, "a", "b")
-    more = scratch.table(rest_of(buckets, nodes, classes, threshold).join(tried, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        more = scratch.table(verify(more, texts, rows, threshold, scratch), "links")
-        if not more.isEmpty():
-            classes = components(links.unionByName(more), scratch, "a", "b")
+    for across in (False, True):
+        more = rest_of(buckets, nodes, classes, texts, rows, threshold, scratch, across)
+        if more is not None and not more.isEmpty():
+            links = links.unionByName(more)
+            classes = components(links, scratch, "a", "b")
     in_class = worded.join(classes.withColumnRenamed("node", "mark"), "mark", "left").select(
         "doc_id", "text_key", "n_words", F.coalesce("component", "mark").alias("component")
     )
@@ -207,71 +218,119 @@ def near_duplicates(
     return placed.unionByName(alone).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "n_words", "text_key")
 
 
-def rest_of(buckets: DataFrame, nodes: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs a < b of one bucket whose classes still differ and whose lengths and bins of words allow a link."""
+def rest_of(
+    buckets: DataFrame, nodes: DataFrame, classes: DataFrame, texts: DataFrame, rows: DataFrame, threshold: float, scratch: Scratch, across: bool
+) -> DataFrame | None:
+    """Links ``a, b`` that join the classes left in mixed buckets: within blocks, or ``across`` blocks of one bucket."""
     placed = buckets.join(classes.withColumnRenamed("node", "mark"), "mark", "left").select(
-        "band", "value", "mark", "n_words", F.coalesce("component", "mark").alias("class")
+        "band", "value", "mark", "head", "n_words", F.coalesce("component", "mark").alias("class")
     )
     mixed = placed.groupBy("band", "value").agg(
-        F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("size")
+        F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("size"), F.sum("n_words").alias("words"),
+        F.max(F.when(F.col("mark") == F.col("head"), F.col("class"))).alias("main"),
     )
-    placed = placed.join(mixed.where("low <> high").select("band", "value", "size"), ["band", "value"])
-    small = placed.where(F.col("size") <= SMALL).join(nodes.select("mark", "sketch", "bag"), "mark")
-    one, two = small.alias("one"), small.alias("two")
-    longer, shorter = F.greatest("one.n_words", "two.n_words"), F.least("one.n_words", "two.n_words")
-    most = F.floor(longer * F.lit(1 - threshold) + 1e-9)
-    lengths = longer - shorter <= most
-    # Evaluated inside the join, so pairs that cannot be links are never rows.
-    # A pair counts in the first of its common buckets alone; that one is mixed too, as the classes differ.
-    first = F.array_position(F.zip_with("one.sketch", "two.sketch", lambda x, y: x == y), True) == F.col("one.band") + 1
-    # Twice the words that only the longer side has are the words of either side alone and the difference of the lengths.
-    alone = F.aggregate(F.zip_with("one.bag", "two.bag", lambda x, y: F.abs(x - y)), F.lit(0), lambda total, x: total + x)
-    apart = (F.col("one.mark") < F.col("two.mark")) & (F.col("one.class") != F.col("two.class"))
-    same = (F.col("one.band") == F.col("two.band")) & (F.col("one.value") == F.col("two.value"))
-    bound = alone + longer - shorter <= 2 * most
-    paired = one.join(two, same & apart & lengths & first & bound).select(F.col("one.mark").alias("a"), F.col("two.mark").alias("b"))
-    # Large buckets: every block of members meets every block, as arrays inside a task.
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("mark"), blocks).cast("int")
-    large = placed.where(F.col("size") > SMALL).withColumn("own", own)
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    large = large.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
-    large = large.join(nodes.select("mark", "sketch", "bag"), "mark").select("band", "value", "x", "y", "own", "mark", "n_words", "class", "sketch", "bag")
+    blocks = lambda n, words: F.ceil(F.greatest(n / F.lit(BLOCK), words / F.lit(BLOCK_WORDS))).cast("int")
+    mixed = mixed.where("low <> high").withColumn("blocks", blocks(F.col("size"), F.col("words")))
+    if across:
+        mixed = mixed.where("blocks > 1")
+    placed = placed.join(mixed.select("band", "value", "main", "blocks"), ["band", "value"])
+    placed = scratch.table(placed.withColumn("own", F.pmod(F.xxhash64("mark"), F.col("blocks")).cast("int")).drop("head"), "mixed")
+    if placed.isEmpty():
+        return None
+    body = texts_of(placed.select("mark").distinct(), texts, rows, scratch)
+    full = placed.join(nodes.select("mark", "sketch", "bag"), "mark").join(body, "mark")
+    if across:
+        # Few are outside the main class as a rule; their blocks are dealt anew, so that others are copied no more often than needed.
+        stray = full.where(F.col("class") != F.col("main"))
+        sizes = stray.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("w"))
+        sizes = scratch.table(sizes.select("band", "value", blocks(F.col("n"), F.col("w")).alias("left_blocks")), "strays")
+        left = stray.join(sizes, ["band", "value"]).withColumn("x", F.pmod(F.xxhash64("mark", F.lit(1)), F.col("left_blocks")).cast("int"))
+        left = left.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(0))
+        right = full.join(sizes, ["band", "value"]).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)))
+        right = right.withColumn("y", F.col("own")).withColumn("side", F.lit(1))
+        cells = left.select(right.columns).unionByName(right)
+    else:
+        cells = full.withColumn("x", F.col("own")).withColumn("y", F.col("own")).withColumn("side", F.lit(0))
+    cells = cells.select("band", "value", "x", "y", "side", "own", "mark", "n_words", "class", "main", "sketch", "bag", "text")
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        left = group[group["own"] == key[2]].reset_index(drop=True)
-        right = group[group["own"] == key[3]].reset_index(drop=True)
-        found = []
-        if len(left) and len(right):
-            ls, rs = np.array(left["sketch"].tolist()), np.array(right["sketch"].tolist())
-            ln, rn = left["n_words"].to_numpy().astype(np.int64), right["n_words"].to_numpy().astype(np.int64)
-            fits = left["class"].to_numpy()[:, None] != right["class"].to_numpy()[None, :]
-            for earlier in range(key[0]):  # a pair counts in the first of its common buckets alone
-                fits &= ls[:, earlier, None] != rs[None, :, earlier]
-            differ = np.abs(ln[:, None] - rn[None, :])
-            most = np.floor(np.maximum(ln[:, None], rn[None, :]) * (1 - threshold) + 1e-9)
-            rows, cols = np.nonzero(fits & (differ <= most))
-            lb, rb = np.array(left["bag"].tolist(), np.int16), np.array(right["bag"].tolist(), np.int16)
-            lm, rm = left["mark"], right["mark"]
-            for at in range(0, len(rows), PAIRS):
-                i, j = rows[at : at + PAIRS], cols[at : at + PAIRS]
-                alone = np.abs(lb[i] - rb[j]).sum(1)
-                good = alone + differ[i, j] <= 2 * most[i, j]
-                found += [(min(lm[p], rm[q]), max(lm[p], rm[q])) for p, q in zip(i[good], j[good])]
-        return pd.DataFrame(sorted(set(found)), columns=["a", "b"])
-
-    blocked = large.groupBy("band", "value", "x", "y").applyInPandas(compare, "a binary, b binary")
-    return paired.unionByName(blocked).distinct()
-
-
-def verify(pairs: DataFrame, texts: DataFrame, rows: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """The pairs of marks whose texts align; one text is fetched for each mark, by an id and the text's digest."""
-    wanted = pairs.select(F.col("a").alias("mark")).unionAll(pairs.select("b")).distinct()
+        left = group[group["side"] == 0].reset_index(drop=True)
+        right = group[group["side"] == 1].reset_index(drop=True) if across else left
+        return pd.DataFrame(block_links(int(key[0]), left, right, across, threshold), columns=["a", "b"])
+
+    return scratch.table(cells.groupBy("band", "value", "x", "y").applyInPandas(compare, "a binary, b binary"), "links")
+
+
+def block_links(band: int, left: pd.DataFrame, right: pd.DataFrame, across: bool, threshold: float) -> list[tuple[bytes, bytes]]:
+    """Links between members of ``left`` and ``right`` that join classes not yet joined."""
+    if not len(left) or not len(right):
+        return []
+    ls, rs = np.array(left["sketch"].tolist()), np.array(right["sketch"].tolist())
+    ln, rn = left["n_words"].to_numpy().astype(np.int64), right["n_words"].to_numpy().astype(np.int64)
+    lm, rm = left["mark"].to_numpy(), right["mark"].to_numpy()
+    lc, rc = left["class"].to_numpy(), right["class"].to_numpy()
+    fits = lc[:, None] != rc[None, :]
+    if across:  # blocks have been compared by themselves; of two strays the smaller one asks
+        stray = rc != right["main"].to_numpy()
+        fits &= (left["own"].to_numpy()[:, None] != right["own"].to_numpy()[None, :]) & (~stray[None, :] | (lm[:, None] < rm[None, :]))
+    else:
+        fits &= lm[:, None] < rm[None, :]
+    for earlier in range(band):  # a pair counts in the first of its common buckets alone; that one is mixed too, as the classes differ
+        fits &= ls[:, earlier, None] != rs[None, :, earlier]
+    differ = np.abs(ln[:, None] - rn[None, :])
+    most = np.floor(np.maximum(ln[:, None], rn[None, :]) * (1 - threshold) + 1e-9)
+    rows, cols = np.nonzero(fits & (differ <= most))
+    lb, rb = np.array(left["bag"].tolist(), np.int16), np.array(right["bag"].tolist(), np.int16)
+    words: dict[bytes, list[str]] = {}
+    pairs: dict[bytes, np.ndarray] = {}
+
+    def of(table: pd.DataFrame, at: int) -> tuple[list[str], np.ndarray]:
+        mark = table["mark"].iat[at]
+        if mark not in words:
+            words[mark] = table["text"].iat[at].split()
+            pairs[mark] = pair_bag(words[mark])
+        return words[mark], pairs[mark]
+
+    bounds = [np.abs(lb[rows[at : at + PAIRS]] - rb[cols[at : at + PAIRS]]).sum(1) for at in range(0, len(rows), PAIRS)]
+    # Twice the words that only the longer side has are the words of either side alone and the difference of the lengths.
+    least = (np.concatenate(bounds) + differ[rows, cols]) if bounds else np.zeros(0)
+    up: dict[bytes, bytes] = {}
+
+    def top(name: bytes) -> bytes:
+        while name in up:
+            name = up[name]
+        return name
+
+    found = []
+    # The likeliest pairs first, so that classes are joined early and most others need no look.
+    for i in np.argsort(least, kind="stable").tolist():
+        r, c = rows[i], cols[i]
+        if least[i] > 2 * most[r, c]:
+            continue
+        a, b = top(lc[r]), top(rc[c])
+        if a == b:
+            continue
+        (wa, pa), (wb, pb) = of(left, r), of(right, c)
+        if np.abs(pa.astype(np.int32) - pb).sum() > 4 * most[r, c]:
+            continue
+        if edit_distance(wa, wb, int(most[r, c])) <= most[r, c]:
+            up[max(a, b)] = min(a, b)
+            found.append((min(lm[r], rm[c]), max(lm[r], rm[c])))
+    return found
+
+
+def texts_of(wanted: DataFrame, texts: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """``mark, text``: one text for each mark, fetched by an id and the text's digest."""
     place = F.struct("text_key", "doc_id")
     owner = rows.join(wanted, "mark", "left_semi").groupBy("mark").agg(F.min(place).alias("at"))
     owner = owner.select("mark", F.col("at.text_key").alias("text_key"), F.col("at.doc_id").alias("owner_id"))
     found = texts.join(owner, (texts["text_key"] == owner["text_key"]) & texts["doc_id"].eqNullSafe(owner["owner_id"]))
-    body = scratch.table(found.select("mark", "text").dropDuplicates(["mark"]), "texts")
+    return scratch.table(found.select("mark", "text").dropDuplicates(["mark"]), "texts")
+
+
+def verify(pairs: DataFrame, texts: DataFrame, rows: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """The pairs of marks whose texts align."""
+    body = texts_of(pairs.select(F.col("a").alias("mark")).unionAll(pairs.select("b")).distinct(), texts, rows, scratch)
     left = pairs.join(body.select(F.col("mark").alias("a"), F.col("text").alias("ta")), "a")
     both = left.join(body.select(F.col("mark").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 

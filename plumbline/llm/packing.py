@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable
 from functools import lru_cache
@@ -17,6 +18,8 @@ from plumbline.llm.common import Scratch, map_rows
 
 # Fixed value: how byte-level BPE cuts a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# The rank encoder's pattern engine goes back over a run of white space and overflows its stack on long ones.
+LONG_BLANKS = re.compile(r"\s{4096}")
 GROUP_ROWS = 4096  # pieces packed by one task at a time
 
 
@@ -25,7 +28,8 @@ class Encoder:
 
     The tokenizer file names the vocabulary; its merges are in order of their
     ids, so a rank encoder over the same entries gives the same ids, ten times
-    as fast. Texts with strings of special tokens go through the tokenizer itself.
+    as fast. Texts with strings of special tokens or with very long runs of white
+    space go through the tokenizer itself.
     """
 
     def __init__(self, path: str):
@@ -37,7 +41,7 @@ class Encoder:
         self.ranks = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
+        if any(s in text for s in self.special) or LONG_BLANKS.search(text):
             ids = self.model.encode(text, add_special_tokens=False).ids
         else:
             ids = self.ranks.encode_ordinary(text)

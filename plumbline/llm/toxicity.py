@@ -26,6 +26,27 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("black", "white", "asian", "african", "european", "american", "latino", "arab"),
     ("immigrant", "immigrants", "refugee", "refugees", "foreigner", "foreigners"),
     ("deaf", "blind", "disabled", "elderly", "young", "old"),
+    # German
+    ("frauen", "männer", "frau", "mann", "mädchen", "jungen", "transfrauen", "transmänner"),
+    ("schwul", "lesbisch", "bisexuell", "homosexuell", "heterosexuell"),
+    ("christen", "muslime", "juden", "hindus", "buddhisten", "atheisten", "katholiken"),
+    ("schwarze", "weiße", "asiaten", "afrikaner", "europäer", "amerikaner", "türken", "araber"),
+    ("einwanderer", "flüchtlinge", "flüchtling", "ausländer", "migranten"),
+    ("gehörlose", "blinde", "behinderte", "alte", "junge"),
+    # French
+    ("femmes", "hommes", "femme", "homme", "filles", "garçons", "transgenre"),
+    ("gay", "lesbienne", "bisexuel", "homosexuel", "hétérosexuel"),
+    ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées", "catholiques"),
+    ("noirs", "blancs", "asiatiques", "africains", "européens", "américains", "arabes"),
+    ("immigrés", "immigrants", "réfugiés", "étrangers", "migrants"),
+    ("sourds", "aveugles", "handicapés", "vieux", "jeunes"),
+    # Spanish
+    ("mujeres", "hombres", "mujer", "hombre", "chicas", "chicos", "transgénero"),
+    ("gay", "lesbiana", "bisexual", "homosexual", "heterosexual"),
+    ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos", "católicos"),
+    ("negros", "blancos", "asiáticos", "africanos", "europeos", "americanos", "latinos", "árabes"),
+    ("inmigrantes", "refugiados", "extranjeros", "migrantes"),
+    ("sordos", "ciegos", "discapacitados", "viejos", "jóvenes"),
 )
 
 
@@ -97,8 +118,7 @@ def fit_counterfactual(
     """
     labels = np.array([y for y, _ in samples], float)
     if not len(labels) or labels.min() == labels.max():
-        share = float(labels.mean()) if len(labels) else 0.0
-        return ToxicModel({}, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
+        return ToxicModel({}, 0.0)  # one class alone tells nothing
     n, width = len(samples), len(vocabulary)
     rows = np.repeat(np.arange(n), [len(f) for _, f in samples])
     cols = np.array([c for _, f in samples for c in f], np.int64)
@@ -240,7 +260,7 @@ def toxicity(
     Null and empty texts get the score of a text without known words. Null
     labels and ids are not learned from, repeated rows score alike, a document
     with two labels counts as toxic if one says so, extra columns are not read,
-    and without both classes the score is the share of the one that is there.
+    and without both classes nothing is learned: every score is 0.5, below the cut.
     """
     model = train(docs, labels, id_col, text_col, label_col, groups, per_class, vocabulary_size, swap_penalty, sparsity, fold)
     rows = docs.select(

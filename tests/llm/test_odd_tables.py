@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from plumbline.llm import queries
@@ -16,7 +17,7 @@ from plumbline.llm.order_minhash import near_duplicates
 from plumbline.llm.packing import pack
 from plumbline.llm.pii import pseudonymise
 from plumbline.llm.suffix_repeats import repetition
-from plumbline.llm.toxicity import toxicity
+from plumbline.llm.toxicity import toxicity, without_toxic
 from plumbline.llm.unigram_count import token_counts
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,7 +26,8 @@ LONG = " ".join(f"word{i % 977}x{i % 31}" for i in range(40_000))
 SAME = "one two three four five six seven eight nine ten eleven twelve"
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, score double, kept boolean, mark string, line string, "
-    "site string, row string, tokens long, posteriors string, mix_key string, pii_found string, found string, length long, piece int"
+    "site string, row string, tokens long, posteriors string, mix_key string, pii_found string, found string, length long, piece int, "
+    "mix_rate double, mix_tokens string, mix_copies string, mix_posteriors string, n_lines string, n_removed string, n_hit string, items string, rank int"
 )
 ROWS = [
     (1, SAME, "en", "a"),
@@ -59,7 +61,7 @@ OPERATORS = {
 
 @pytest.fixture(scope="module")
 def tables(spark):
-    more = (1, 0.5, True, "m", "l", "s", "r", 3, "p", "k", "f", "f", 9, 9)
+    more = (1, 0.5, True, "m", "l", "s", "r", 3, "p", "k", "f", "f", 9, 9, 0.5, "t", "c", "p", "n", "n", "h", "i", 4)
     docs = spark.createDataFrame([(*r, *more) for r in ROWS], SCHEMA)
     labels = spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int").withColumn("text", F.lit("clash"))
     return docs, labels
@@ -102,7 +104,7 @@ def test_vectors_that_are_odd(spark):
 def folder(spark, tables, tmp_path_factory):
     docs, labels = tables
     where = str(tmp_path_factory.mktemp("odd"))
-    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{where}/documents.parquet")
+    docs.write.parquet(f"{where}/documents.parquet")
     labels.select("doc_id", "quality", "toxic").write.parquet(f"{where}/labels.parquet")
     return where
 
@@ -118,5 +120,44 @@ def test_stage_on_odd_and_empty_rows(spark, folder, at):
     assert stage(spark, docs.limit(0), folder).count() == 0
 
 
+def test_stages_leave_clashing_columns_alone(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        got = stage(spark, docs, folder)
+        for column, value in (("mix_copies", "c"), ("n_lines", "n"), ("mark", "m"), ("tokens", 3)):
+            assert {r[0] for r in got.select(column).distinct().collect()} == {value}
+
+
+def test_one_class_of_labels_keeps_every_document(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.createDataFrame([(i, 1) for i in range(9)], "doc_id long, toxic int")
+    assert {(r.score, r.predicted) for r in toxicity(docs, labels).collect()} == {(0.5, 0)}
+    assert without_toxic(docs, labels).count() == len(ROWS)
+
+
+def test_very_long_texts(spark):
+    """Two million blanks, line breaks or both, and one word of five million letters."""
+    long = [" " * 2_000_000, "\n" * 2_000_000, " \n\t" * 700_000, "x" * 5_000_000, "a " * 1_000_000]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(long)], "doc_id long, text string, lang string, source string").repartition(len(long))
+    labels = spark.createDataFrame([(9, 0, 0)], "doc_id long, quality int, toxic int")
+    tokenizer = Tokenizer.from_file(BPE)
+    pieces = pack(docs, BPE).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id: r.n for r in pieces} == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(long)}
+    for name in ("toxicity", "minhash", "lines", "mixing", "langid"):
+        assert sorted(r["doc_id"] for r in OPERATORS[name](spark, docs, labels).select("doc_id").collect()) == list(range(len(long)))
+
+
+def test_characters_that_are_no_letters(spark):
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([("½ ² ① 3 _", None), ("ªb", None), ("ⅷ", None), *[("the cat sat", "en"), ("der Hund lag", "de")] * 40])], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in identify(docs, fold=None).collect()}
+    assert got[0] == got[2] == "und" and got[1] != "und" and got[3] == "en" and got[4] == "de"
+
+
+def test_an_id_with_two_languages_is_learned_with_its_own_texts(spark):
+    rows = [(1, "the cat sat on the mat", "en"), (1, "der Hund lag auf der Matte", "de")]
+    got = sorted((r.lang_pred) for r in identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), fold=None).collect())
+    assert got == ["de", "en"]
+
+
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))

@@ -296,8 +296,8 @@ def test_classes_are_joined_across_a_bucket(spark, monkeypatch):
     for _ in range(12):
         chain.append(edited(rng, chain[-1], 6))
     rows = [(i, " ".join(w)) for i, w in enumerate(chain)]
-    for small in (64, 1):
-        monkeypatch.setattr(order_minhash, "SMALL", small)
+    for block in (512, 2):
+        monkeypatch.setattr(order_minhash, "BLOCK", block)
         got = order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), threshold=0.95).collect()
         assert {r.class_id for r in got} == {0}
 
@@ -329,12 +329,56 @@ def test_two_members_of_a_mixed_bucket_that_share_one_band_are_linked(spark, mon
         n = len(rows)
         rows += [(n, " ".join(head)), (n + 1, " ".join(a)), (n + 2, " ".join(b))]
         want.update({n: n, n + 1: n + 1, n + 2: n + 1})
-    for small in (64, 1):
-        monkeypatch.setattr(order_minhash, "SMALL", small)
+    for block in (512, 2):
+        monkeypatch.setattr(order_minhash, "BLOCK", block)
         got = order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
         assert {r.doc_id: r.class_id for r in got} == want
 
 
+def test_random_texts_have_the_classes_of_all_pairs(spark, monkeypatch):
+    """Every two texts that share a band, aligned one by one; groups drift, so buckets stay mixed."""
+    rng = random.Random(21)
+    texts = []
+    for _ in range(10):
+        group = [[f"w{rng.randrange(300)}" for _ in range(rng.choice([9, 30, 120]))]]
+        for _ in range(14):
+            group.append(edited(rng, rng.choice(group), max(1, int(len(group[0]) * rng.choice([0.03, 0.06, 0.12])))))
+        texts += group
+    marks = [mark_of(t) for t in texts]
+    sketches = [order_minhash.sketch(t, 16, 3) for t in texts]
+    up = list(range(len(texts)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    links = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if (sketches[i] == sketches[j]).any() and (marks[i] == marks[j] or levenshtein(texts[i], texts[j]) <= int(0.2 * max(len(texts[i]), len(texts[j])) + 1e-9)):
+                links += 1
+                up[max(top(i), top(j))] = min(top(i), top(j))
+    want = {i: min(j for j in range(len(texts)) if top(j) == top(i)) for i in range(len(texts))}
+    assert links > 100 and len(set(want.values())) > 12
+    for block in (512, 4):
+        monkeypatch.setattr(order_minhash, "BLOCK", block)
+        got = order_minhash.near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))
+        assert {r.doc_id: r.class_id for r in got.collect()} == want
+
+
+def test_bounds_never_exceed_the_edits():
+    rng = random.Random(22)
+    for _ in range(300):
+        a = [rng.choice("abcdef") for _ in range(rng.randint(1, 30))]
+        b = [c if rng.random() > 0.2 else rng.choice("abcdefgh") for c in a if rng.random() > 0.1] or ["a"]
+        b[rng.randrange(len(b)) : 0] = rng.choices("abc", k=rng.randint(0, 3))
+        edits = levenshtein(a, b)
+        apart = lambda f: int(np.abs(f(a).astype(int) - f(b)).sum())
+        assert apart(order_minhash.pair_bag) <= 4 * edits
+        assert apart(order_minhash.bag) + abs(len(a) - len(b)) <= 2 * edits
+
+
 def mark_of(words):
     return blake2b(" ".join(words).encode(), digest_size=16).digest()
 
