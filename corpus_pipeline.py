@@ -15,6 +15,18 @@ from plumbline.llm.queries import byte_bpe, table, tempered
 from plumbline.llm.toxicity import without_toxic
 from plumbline.session import scratch_dir
 
+ROW = "__row"
+
+
+def carried(docs: DataFrame, *read: str) -> DataFrame:
+    """``docs`` with all columns but those an operator reads in one struct, so that no name can clash with what it adds."""
+    return docs.select(*read, F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`") for c in docs.columns if c not in read]).alias(ROW))
+
+
+def unpacked(docs: DataFrame, *read: str) -> list:
+    """The columns of ``docs`` from what ``carried`` made of them."""
+    return [F.col(c) if c in read else F.col(f"{ROW}.`{c}`").alias(c) for c in docs.columns]
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is at the cut or above go; every row is judged by its own text."""
@@ -23,8 +35,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go, and with them the documents that consist of nothing else."""
-    done = line_dedup(docs).where(~((F.col("n_removed") > 0) & (F.trim(F.translate("text", "\n\t\r", "   ")) == "")))
-    return done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    read = ("doc_id", "text", "source", "n_chars")
+    done = line_dedup(carried(docs, *read))
+    done = done.where(~((F.col("n_removed") > 0) & (F.trim(F.translate("text", "\n\t\r", "   ")) == "")))
+    chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return done.withColumn("n_chars", chars).select(unpacked(docs, *read))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +57,10 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of small languages are repeated until the languages' tokens are in tempered proportion; none is left out."""
     labelled = docs.select("doc_id", F.col("lang").alias("domain")).join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
-    done = mixing_rates(docs, labelled, tempered, keep_all=True)
+    read = ("doc_id", "text")
+    done = mixing_rates(carried(docs, *read), labelled, tempered, keep_all=True)
     times = F.greatest(F.col("mix_copies"), F.lit(1))
-    return done.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), times))).select(docs.columns)
+    return done.withColumn("__copy", F.explode(F.sequence(F.lit(1), times))).select(unpacked(docs, *read))
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
