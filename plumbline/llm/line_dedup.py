@@ -44,7 +44,9 @@ def line_dedup(
     row_key = F.unhex(F.md5(F.concat_ws("\n", F.coalesce(F.col(id_col).cast("string"), F.lit("")), text)))
     hashed = F.transform(F.split(text, "\n", -1), lambda x: F.when(F.length(F.trim(x)) >= min_chars, F.unhex(F.md5(x))))
     site = F.coalesce(F.xxhash64(F.col(site_col).cast("string")), F.lit(0))
-    found = docs.select(row_key.alias("row"), F.col(id_col).alias("doc_id"), site.alias("site"), F.posexplode(hashed).alias("pos", "line"))
+    # The key is made before the lines are listed: a generator repeats what is computed from later for every line.
+    keyed = docs.select(row_key.alias("row"), F.col(id_col).alias("doc_id"), site.alias("site"), hashed.alias("hashed"))
+    found = keyed.select("row", "doc_id", "site", F.posexplode("hashed").alias("pos", "line"))
     lines = scratch.table(found.where("line IS NOT NULL"), "lines")
     # Lines of one site need no sketch: the least and the greatest site hash tell them apart at the price of two longs.
     spread = lines.groupBy("line").agg(F.min("site").alias("low"), F.max("site").alias("high")).where("low <> high")
