@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable
 from functools import lru_cache
 from hashlib import blake2b
@@ -20,7 +19,6 @@ BLOCK_WORDS = 1 << 20  # and about as many words
 _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
 
 BINS = 256  # word counts of a text are summed in so many bins by the hash of the word
-PAIR_BINS = 1024  # bins of the counts of word pairs
 PAIRS = 4096  # pairs of a block whose bins are compared at a time
 
 
@@ -87,19 +85,55 @@ def bag(words: list[str]) -> np.ndarray:
     return np.minimum(counts, 127).astype(np.int8)
 
 
-def pair_bag(words: list[str]) -> np.ndarray:
-    """Number of neighbouring words in each of ``PAIR_BINS`` bins. An edit takes or adds at most two pairs each, so changes the counts by four at most."""
+GRAMS = (1, 2, 3)
+SHALLOW = 12  # edits up to which diagonals are walked
+
+
+def profile(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For words, pairs and triples of neighbouring words: the different ones (hashed) and how often they come."""
     ids = np.fromiter(map(word_hash, words), np.uint64, len(words))
-    keys = mix(ids[:-1] * _PRIMES[0] + ids[1:] * _PRIMES[1])
-    return np.minimum(np.bincount((keys % np.uint64(PAIR_BINS)).astype(np.int64), minlength=PAIR_BINS), 32_767).astype(np.int16)
+    out = []
+    for n in GRAMS:
+        keys = np.zeros(max(0, len(ids) - n + 1), np.uint64)
+        for i in range(n if len(keys) else 0):
+            keys = mix(keys + ids[i : i + len(keys)] * _PRIMES[i])
+        out.append(np.unique(keys, return_counts=True))
+    return out
+
+
+def may_align(a: list[tuple[np.ndarray, np.ndarray]], b: list[tuple[np.ndarray, np.ndarray]], most: int) -> bool:
+    """False if no ``most`` edits turn one text into the other: an edit takes and adds at most n of the runs of n words."""
+    for n, (ka, ca), (kb, cb) in zip(GRAMS, a, b):
+        _, at, bt = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
+        if ca.sum() + cb.sum() - 2 * np.minimum(ca[at], cb[bt]).sum() > 2 * n * most:
+            return False
+    return True
 
 
 def edit_distance(a: list, b: list, most: int) -> int:
     """Words to insert, delete or replace, or ``most + 1`` if it is over ``most``.
 
-    Only diagonals within ``most`` of the main one are walked: for each number of
-    edits the farthest point of every diagonal in the band.
+    What both texts start and end with is left out. A few edits are found by walking
+    the diagonals next to the main one; beyond ``SHALLOW`` edits whole columns of the
+    table are advanced as bits of long integers, until ``most`` can no longer be met.
     """
+    start, end = 0, min(len(a), len(b))
+    while start < end and a[start] == b[start]:
+        start += 1
+    tail = 0
+    while tail < end - start and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    a, b = a[start : len(a) - tail], b[start : len(b) - tail]
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    if not a or not b:
+        return max(len(a), len(b))
+    near = walk_diagonals(a, b, min(most, SHALLOW))
+    return near if near <= min(most, SHALLOW) or most <= SHALLOW else advance_columns(a, b, most)
+
+
+def walk_diagonals(a: list, b: list, most: int) -> int:
+    """For each number of edits the farthest point of every diagonal within ``most`` of the main one."""
     n, m = len(a), len(b)
     if abs(n - m) > most:
         return most + 1
@@ -124,15 +158,34 @@ def edit_distance(a: list, b: list, most: int) -> int:
     return most + 1
 
 
+def advance_columns(a: list, b: list, most: int) -> int:
+    """The table column by column: where a cell is one more or one less than the cell above it is one bit for each word of ``a``."""
+    at: dict = {}
+    for i, word in enumerate(a):
+        at[word] = at.get(word, 0) | (1 << i)
+    last, full = len(a) - 1, (1 << len(a)) - 1
+    more, less, score = full, 0, len(a)
+    for left, word in zip(range(len(b) - 1, -1, -1), b):
+        equal = at.get(word, 0)
+        across = (((equal & more) + more) ^ more) | equal
+        up, down = less | (full & ~(across | more)), more & across
+        score += (up >> last & 1) - (down >> last & 1)
+        if score - left > most:  # each word that is left takes off one at most
+            return most + 1
+        up, down = (up << 1) | 1, down << 1
+        equal |= less
+        more = (down | ~(equal | up)) & full
+        less = up & equal & full
+    return score
+
+
 def similar(a: list[str], b: list[str], threshold: float) -> bool:
     """Whether 1 - edits / longer length reaches ``threshold``, aligned word by word in a band."""
     longer = max(len(a), len(b))
     most = int((1 - threshold) * longer + 1e-9)
     if abs(len(a) - len(b)) > most:
         return False
-    # Words that only one side has need an edit each: a bound without alignment.
-    left, right = Counter(a), Counter(b)
-    if max((left - right).total(), (right - left).total()) > most:
+    if not may_align(profile(a), profile(b), most):
         return False
     return edit_distance(a, b, most) <= most
 
@@ -178,8 +231,8 @@ def near_duplicates(
     left in a bucket, blocks of at most about ``BLOCK`` members compare them inside
     a task: first each block by itself, then the members outside the class of the
     bucket's smallest with all other blocks. A task aligns every two members of
-    different classes unless their lengths, their words or their neighbouring
-    words, counted in bins, take more edits than a link may have. These are bounds,
+    different classes unless their lengths, their words or the runs of two
+    and three neighbouring words take more edits than a link may have. These are bounds,
     not estimates, so no link between two members of a bucket is missed. Classes
     that meet in the task are one from then on, so it aligns no more of their pairs
     and sends no more than one link a member: no pairs are rows. No bucket is cut
@@ -282,14 +335,14 @@ def block_links(band: int, left: pd.DataFrame, right: pd.DataFrame, across: bool
     rows, cols = np.nonzero(fits & (differ <= most))
     lb, rb = np.array(left["bag"].tolist(), np.int16), np.array(right["bag"].tolist(), np.int16)
     words: dict[bytes, list[str]] = {}
-    pairs: dict[bytes, np.ndarray] = {}
+    grams: dict[bytes, list] = {}
 
-    def of(table: pd.DataFrame, at: int) -> tuple[list[str], np.ndarray]:
+    def of(table: pd.DataFrame, at: int) -> tuple[list[str], list]:
         mark = table["mark"].iat[at]
         if mark not in words:
             words[mark] = table["text"].iat[at].split()
-            pairs[mark] = pair_bag(words[mark])
-        return words[mark], pairs[mark]
+            grams[mark] = profile(words[mark])
+        return words[mark], grams[mark]
 
     bounds = [np.abs(lb[rows[at : at + PAIRS]] - rb[cols[at : at + PAIRS]]).sum(1) for at in range(0, len(rows), PAIRS)]
     # Twice the words that only the longer side has are the words of either side alone and the difference of the lengths.
@@ -310,10 +363,9 @@ def block_links(band: int, left: pd.DataFrame, right: pd.DataFrame, across: bool
         a, b = top(lc[r]), top(rc[c])
         if a == b:
             continue
-        (wa, pa), (wb, pb) = of(left, r), of(right, c)
-        if np.abs(pa.astype(np.int32) - pb).sum() > 4 * most[r, c]:
-            continue
-        if edit_distance(wa, wb, int(most[r, c])) <= most[r, c]:
+        (wa, ga), (wb, gb) = of(left, r), of(right, c)
+        limit = int(most[r, c])
+        if may_align(ga, gb, limit) and edit_distance(wa, wb, limit) <= limit:
             up[max(a, b)] = min(a, b)
             found.append((min(lm[r], rm[c]), max(lm[r], rm[c])))
     return found

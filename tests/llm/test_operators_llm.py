@@ -255,6 +255,7 @@ def test_banded_alignment_equals_the_plain_table():
         a = [rng.choice("abcd") for _ in range(rng.randint(0, 25))]
         b = [c if rng.random() > 0.2 else rng.choice("abcd") for c in a if rng.random() > 0.1] if rng.random() < 0.7 else [rng.choice("abcd") for _ in range(rng.randint(0, 25))]
         true = levenshtein(a, b)
+        assert not a or not b or order_minhash.advance_columns(a, b, 60) == true
         for most in (0, 2, 5, 30):
             assert order_minhash.edit_distance(a, b, most) == (true if true <= most else most + 1)
 
@@ -375,7 +376,7 @@ def test_bounds_never_exceed_the_edits():
         b[rng.randrange(len(b)) : 0] = rng.choices("abc", k=rng.randint(0, 3))
         edits = levenshtein(a, b)
         apart = lambda f: int(np.abs(f(a).astype(int) - f(b)).sum())
-        assert apart(order_minhash.pair_bag) <= 4 * edits
+        assert order_minhash.may_align(order_minhash.profile(a), order_minhash.profile(b), edits)
         assert apart(order_minhash.bag) + abs(len(a) - len(b)) <= 2 * edits
 
 
