@@ -24,16 +24,45 @@ def _diff_path(line: Column) -> Column:
     return F.when(path.isin("/dev/null", ""), F.lit(None)).otherwise(F.regexp_replace(path, "^[ab]/", ""))
 
 
-def diff_lines(patches: DataFrame, *keys: str) -> DataFrame:
+def _inside_counts(lines: DataFrame, *keys: str) -> DataFrame:
+    """Adds ``bounded``: a line that looks like a file header but is body, because its hunk still lacks such lines.
+
+    A hunk header says how many old and new lines follow. Between two lines that
+    open a file or a hunk, running sums tell how many of each have come; while some
+    are missing, ``--- `` is a removed and ``+++ `` an added line. An old file
+    header that is none closes the hunk. One window over each patch, no state.
+    """
+    opens = F.col("line").startswith("diff --git") | F.col("line").rlike(HUNK_HEADER)
+    upto = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = lines.withColumn("opened", F.max(F.when(opens, F.col("pos"))).over(upto))
+    inside = Window.partitionBy(*keys, "opened").orderBy("pos")
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    count = lambda i: F.coalesce(F.nullif(F.regexp_extract("line", HUNK_HEADER, i), F.lit("")), F.lit("1")).try_cast("long")
+    wanted = lambda i: F.first(F.when(F.col("line").rlike(HUNK_HEADER), count(i))).over(inside)
+    tag = F.left("line", F.lit(1))
+    body = (F.col("pos") > F.col("opened")) & (tag != "\\")
+    came = lambda other: F.coalesce(F.sum((body & (tag != other)).cast("long")).over(before), F.lit(0))
+    old = cut.withColumn("lacks_old", F.coalesce(wanted(2) > came("+"), F.lit(False))).withColumn("lacks_new", F.coalesce(wanted(4) > came("-"), F.lit(False)))
+    closes = F.col("line").startswith("--- ") & ~F.col("lacks_old")
+    closed = F.coalesce(F.max(closes.cast("int")).over(before) == 1, F.lit(False))
+    is_body = (F.col("line").startswith("--- ") & F.col("lacks_old")) | (F.col("line").startswith("+++ ") & F.col("lacks_new"))
+    return old.withColumn("bounded", is_body & ~closed).select(*keys, "pos", "line", "bounded")
+
+
+def diff_lines(patches: DataFrame, *keys: str, bounded: bool = True) -> DataFrame:
     """Every line of the diffs in ``patches`` (column ``content``) with its role.
 
     ``role``: git, old, new (file headers), hunk, added, removed, other. Lines
     carry ``file_ix`` (0 before the first file), ``hunk_ix`` (position of their
     hunk header, NULL outside hunks), and for added/removed lines ``lineno``.
+    While a hunk lacks lines that its header counts, ``--- `` and ``+++ `` are such
+    lines; with ``bounded=False`` they always open a file.
     """
     lines = patches.select(*keys, F.posexplode(split_lines(F.col("content"))).alias("pos", "line"))
+    lines = _inside_counts(lines, *keys) if bounded else lines.withColumn("bounded", F.lit(False))
     role = (
-        F.when(F.col("line").startswith("diff --git"), "git")
+        F.when(F.col("bounded"), None)
+        .when(F.col("line").startswith("diff --git"), "git")
         .when(F.col("line").startswith("--- "), "old")
         .when(F.col("line").startswith("+++ "), "new")
         .when(F.col("line").rlike(HUNK_HEADER), "hunk")

@@ -108,6 +108,8 @@ def render(findings: DataFrame, manifests: DataFrame, facts: ScanFacts, explain:
     titles = F.when(F.col("any"), F.concat(F.lit("  "), paint(F.lit(columns), BOLD), F.lit("\n"), rule(98))).otherwise(paint(F.lit("  ✓ no findings"), GREEN))
     inputs = F.array_join(F.transform(F.coalesce("inputs", F.array().cast("array<struct<path:string,sha256:string>>")), lambda i: basename(i["path"])), ", ")
     foot = F.concat(F.lit("\n"), paint(F.lit(f"  generated  {facts.generated_at}"), DIM), F.lit("\n"), paint(F.concat(F.lit("  inputs     "), inputs), DIM))
+    again = F.concat(F.lit(f"  reproduce  {TOOL_NAME} scan "), "project", F.lit(f" --db-snapshot {snap.get('content_hash', '')}"))
+    foot = F.concat(foot, F.lit("\n"), paint(again, DIM))
     part = lambda df, n: df.select("project", F.lit(n).alias("part"), "ord", "text")
     parts = [fixed(manifests, 0, head), fixed(summary, 1, bars), fixed(found, 2, titles), part(table_lines(findings, colour), 3), fixed(found.where("any"), 4, rule(98))]
     if explain:

@@ -127,11 +127,31 @@ def materialize_counted(df: DataFrame, tag: str) -> tuple[DataFrame, int]:
     return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["rows"]
 
 
+def bucketed(df: DataFrame, keys: list[str], tag: str) -> DataFrame:
+    """Write ``df`` to the shared scratch folder in buckets of ``keys``, sorted by them, and read it back.
+
+    A join or aggregate on these keys reads the buckets where they lie; it never
+    shuffles this side again. There are as many buckets as shuffle partitions.
+    """
+    spark = df.sparkSession
+    name = f"{tag}_{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    _WRITTEN.append(path)
+    _TABLES.append(name)
+    # One task for each bucket, so that it is one file.
+    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(name, format="parquet")
+    return spark.table(name)
+
+
 _WRITTEN: list[str] = []
+_TABLES: list[str] = []
 
 
 def clear_scratch(spark: SparkSession) -> None:
     """Removes the intermediate tables this program wrote; call it when its results are written."""
+    while _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
     while _WRITTEN:
         at = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

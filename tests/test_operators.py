@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.fixed_values import POPULAR_NAMES, TYPOSQUAT_ALLOWED
 from plumbline.operators import callgraph, diff, mining, supply_chain
-from plumbline.operators.graph import closure
+from plumbline.operators.graph import closure, paths, walk
 from plumbline.operators.traces import fold_calls, load_trace, trace_documents
 from plumbline.sources import requirements
 from plumbline.sources.manifests import mark_direct, merge_packages, most_trusted, resolve
@@ -105,6 +105,45 @@ diff --git a/gone.txt b/gone.txt
 """
 
 
+def test_paths_are_the_first_of_the_shortest(spark):
+    """Long chains, ties between paths and cycles against a plain search."""
+    import random
+
+    rng = random.Random(6)
+    edges = {("p", f"n{rng.randrange(60):02}", f"n{rng.randrange(60):02}") for _ in range(150)} | {("q", f"c{i:03}", f"c{i + 1:03}") for i in range(40)}
+    seeds = [("p", "n00"), ("p", "n07"), ("q", "c000"), ("q", "lone")]
+    want, level = {s: [s[1]] for s in seeds}, {s: [s[1]] for s in seeds}
+    while level:
+        found = {}
+        for (project, node), path in level.items():
+            for p, a, b in edges:
+                if (p, a) == (project, node) and (p, b) not in want:
+                    found[p, b] = min(found.get((p, b), ["~"]), [*path, b])
+        want.update(found)
+        level = found
+    e, s = spark.createDataFrame(sorted(edges), "project string, src string, dst string"), spark.createDataFrame(seeds, "project string, node string")
+    got = closure(e, s, ["project"], with_path=True).collect()
+    assert {(r.project, r.node): list(r.path) for r in got} == want and all(r.depth == len(r.path) - 1 for r in got)
+    walked = walk(e, s, ["project"], pointers=True)
+    some = paths(walked, walked.where("node in ('c033', 'c001', 'n00')"), ["project"])
+    assert {r.node: len(r.path) for r in some.collect()} == {"c033": 34, "c001": 2, "n00": 1}
+
+
+def test_edges_are_not_moved_again(spark):
+    from plumbline.session import bucketed
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(1000).selectExpr("cast(id % 3 as string) as project", "cast(id as string) as src", "cast(id + 1 as string) as dst")
+        edges = bucketed(rows, ["project", "src"], "edges")
+        joined = spark.range(9).selectExpr("cast(id % 3 as string) as project", "cast(id as string) as src").repartition(3).join(edges, ["project", "src"])
+        assert joined.count() == 9
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(project") == 1, plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_diff(spark):
     df = spark.createDataFrame([("A", PATCH), ("B", "@@ -1 +1 @@\n+no file\n"), ("C", "")], "advisory string, content string")
     lines = diff.diff_lines(df, "advisory")
@@ -116,6 +155,16 @@ def test_diff(spark):
     assert hunks == [(3, 4, " class Box:"), (1, 2, " def helper(a):"), (1, 0, "")]
 
 
+def test_lines_that_look_like_file_headers(spark):
+    """Hunk counts decide; beyond them, or with ``bounded=False``, such lines open a file."""
+    patch = "--- a/n\n+++ b/n\n@@ -1,2 +1,2 @@\n--- old\n+++ new\n kept\n--- a/second\n+++ b/second\n@@ -5 +5,0 @@\n--- gone\n--- a/third\n+++ b/third\n@@ -1,0 +2 @@\n+++ last\n"
+    df = spark.createDataFrame([("A", patch)], "advisory string, content string")
+    lines = diff.diff_lines(df, "advisory")
+    changes = [(r.side, r.lineno, r.text) for r in diff.diff_changes(lines, "advisory").orderBy("hunk_ix", "side").collect()]
+    assert changes == [("added", 1, "++ new"), ("removed", 1, "-- old"), ("removed", 5, "-- gone"), ("added", 2, "++ last")]
+    assert diff.diff_changes(diff.diff_lines(df, "advisory", bounded=False), "advisory").count() == 0
+
+
 def test_mining_prefers_source(spark):
     df = spark.createDataFrame([("A", PATCH)], "advisory string, content string")
     assert {(r.qualified, r.method) for r in mining.mine_patches(df).collect()} == {("Box", "hunk-header"), ("helper", "hunk-header")}

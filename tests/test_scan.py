@@ -106,6 +106,8 @@ def test_terminal(done):
     plain = "\n".join(stream(done.render("terminal", explain=True)))
     assert "yam-lib@5.3" in plain and "REACH:DEEP" in plain and "◆ risk" in plain and "\033" not in plain
     assert "\033[1;91m" in "\n".join(stream(done.render("terminal", colour=True)))
+    facts = json.loads("".join(stream(done.render("json"))))["manifest"]
+    assert plain.rstrip("\n").splitlines()[-1] == f"  reproduce  {facts['tool']} scan {facts['target']} --db-snapshot {facts['db_snapshot']['content_hash']}"
 
 
 def test_written_document_reads_in_name_order(done, tmp_path):
