@@ -121,6 +121,7 @@ def scan_target(
     """
     if many and (deps_paths or trace_path):
         raise ValueError("dependency roots and traces belong to one project; name them without many=True")
+    store = store.pinned()  # One version from the first read to the report.
     target = target.rstrip("/")
     is_dir = is_directory(spark, target)
     root = target if is_dir else target.rpartition("/")[0]

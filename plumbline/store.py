@@ -1,4 +1,4 @@
-"""The local advisory store: parquet tables in one folder."""
+"""The local advisory store: versioned parquet tables in one folder."""
 
 from __future__ import annotations
 
@@ -12,31 +12,44 @@ from plumbline.operators.enrichment import enrich
 from plumbline.plans.digest import parallel_digest, snapshot_hash
 from plumbline.session import materialize
 from plumbline.sources import advisories as feeds
+from plumbline.snapshots import Change, Snapshots, Version, buckets_of
 from plumbline.sources.files import is_directory, path_exists, read_whole_files
 from plumbline.sources.pyfacts import source_facts
 from plumbline.sources.tree import read_tree
 
-EMPTY = {
-    "mined": "vuln_id string, ecosystem string, name string, symbol string, qualified string, source string",
-    "meta": "key string, value string",
-}
+MINED = "vuln_id string, ecosystem string, name string, symbol string, qualified string, source string"
+# Names that a lookup hands to the scan as a filter; a longer list is joined.
+LISTED = 1000
 
 
 class AdvisoryStore:
-    """Advisories, EPSS, KEV, mined symbols and snapshot facts."""
+    """Advisories, EPSS, KEV, mined symbols and snapshot facts.
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
+    Every change is one commit of ``Snapshots``: a sync or a mining run that dies
+    leaves the version before it in force. ``version`` binds a store to one version,
+    whatever is published later; ``pinned`` binds it to the last one.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, version: int | None = None) -> None:
         self.spark = spark
         self.path = path.rstrip("/")
+        self.number = version
+        self.snapshots = Snapshots(spark, path)
+
+    def pinned(self) -> AdvisoryStore:
+        """The same store, bound to the version that is the last one now."""
+        return AdvisoryStore(self.spark, self.path, self._version().number)
+
+    def _version(self) -> Version:
+        return self.snapshots.version(self.number)
 
     def table(self, name: str) -> DataFrame:
-        where = f"{self.path}/{name}"
-        if name in EMPTY and not path_exists(self.spark, where):
-            return self.spark.createDataFrame([], EMPTY[name])
-        return self.spark.read.parquet(where)
+        return self.snapshots.read(self._version(), name)
 
-    def _write(self, name: str, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+    def _change(self) -> Change:
+        if self.number is not None:
+            raise ValueError("this store is bound to one version; change the store itself")
+        return self.snapshots.change()
 
     # -- ingestion ---------------------------------------------------------
     def sync(self, folder: str, label: str = "seed", lines: bool = False) -> dict:
@@ -51,25 +64,30 @@ class AdvisoryStore:
         else:
             raw = self.spark.createDataFrame([], "path string, content string")
             parsed, n_skipped, order = feeds.parse_osv(raw, "content", "path"), 0, ["path"]
-        self._write("advisories", feeds.latest_records(parsed, *order))
+        change = self._change()
+        # Sorted and with Bloom filters, so that lookups of ids and names skip what does not hold them.
+        latest = feeds.latest_records(parsed, *order).repartitionByRange("id").sortWithinPartitions("id")
+        kept = change.put("advisories", latest, **{"parquet.bloom.filter.enabled#id": "true"})
+        names = affected_names(kept).repartitionByRange("eco", "name").sortWithinPartitions("eco", "name")
+        change.put("names", names, **{"parquet.bloom.filter.enabled#name": "true"})
         gz = f"{folder}/epss.csv.gz"
         epss = gz if path_exists(self.spark, gz) else f"{folder}/epss.csv"
-        self._write("epss", feeds.read_epss(self.spark, epss))
-        self._write("kev", feeds.read_kev(self.spark, f"{folder}/kev.json"))
-        self._write("mined", self.spark.createDataFrame([], EMPTY["mined"]))
-        full = parallel_digest(self.advisories, *self.advisories.columns).first().digest
+        epss = change.put("epss", feeds.read_epss(self.spark, epss))
+        kev = change.put("kev", feeds.read_kev(self.spark, f"{folder}/kev.json"))
+        change.put_buckets("mined", self.spark.createDataFrame([], MINED), "vuln_id")
+        full = parallel_digest(kept, *kept.columns).first().digest
         info = {
             "source": label,
             "synced_at": datetime.now(timezone.utc).isoformat(timespec="seconds"),
             "content_hash": snapshot_hash(parsed),
             "full_hash": "sha256-bag:" + full[:32],
             "record_count": parsed.count(),
-            "epss_count": self.table("epss").count(),
-            "kev_count": self.table("kev").count(),
+            "epss_count": epss.count(),
+            "kev_count": kev.count(),
         }
         if n_skipped:
             info["skipped_files"] = n_skipped
-        self._write("meta", self.spark.createDataFrame([(k, str(v)) for k, v in info.items()], EMPTY["meta"]))
+        change.publish({k: str(v) for k, v in info.items()})
         return info
 
     def mine(self, patches: str, source_root: str | None = None, source: str = "seed-patch") -> tuple[int, int]:
@@ -86,10 +104,16 @@ class AdvisoryStore:
         return self.add_mined(mined, source)
 
     def add_mined(self, mined: DataFrame, source: str) -> tuple[int, int]:
-        """Store mined symbols of known advisories, replacing earlier ones."""
+        """Store mined symbols of known advisories, replacing earlier ones.
+
+        Only the buckets of these advisories are read and written.
+        """
+        change = self._change()
         fresh = materialize(mining.mined_symbols(mined, self.affected_packages(), source), "mined")
-        merged = materialize(mining.replace_mined(self.table("mined"), fresh), "mined")
-        self._write("mined", merged)
+        touched = buckets_of(fresh, "vuln_id")
+        stored = self.snapshots.read(change.base, "mined", touched)
+        change.put_buckets("mined", mining.replace_mined(stored, fresh), "vuln_id", touched)
+        change.publish()
         counts = fresh.agg(F.count_distinct("vuln_id").alias("a"), F.count("*").alias("s")).first()
         return counts.a, counts.s
 
@@ -100,9 +124,7 @@ class AdvisoryStore:
 
     def affected_packages(self) -> DataFrame:
         """``vuln_id, ecosystem, name`` of every advisory."""
-        return self.advisories.select(F.col("id").alias("vuln_id"), F.explode("affected").alias("a")).select(
-            "vuln_id", "a.ecosystem", "a.name"
-        ).distinct()
+        return self.table("names").select("vuln_id", "ecosystem", "name").distinct()
 
     def index(self, any_range_type: bool = True) -> DataFrame:
         """Matching index with mined symbols folded in."""
@@ -111,27 +133,44 @@ class AdvisoryStore:
         )
 
     def lookup(self, packages: DataFrame) -> DataFrame:
-        """Advisories that name any of ``packages`` (ecosystem, name)."""
+        """Advisories that name any of ``packages`` (ecosystem, name).
+
+        Up to ``LISTED`` names and ids go to the scans as filters, which skip the
+        files and row groups that hold none of them; more are joined.
+        """
         wanted = packages.select(F.lower("ecosystem").alias("eco"), "name").distinct()
-        named = self.affected_packages().withColumn("eco", F.lower("ecosystem")).join(wanted, ["eco", "name"], "left_semi")
-        return self.advisories.join(named.select(F.col("vuln_id").alias("id")).distinct(), "id", "left_semi")
+        named = _among(self.table("names"), "name", wanted.select("name")).join(wanted, ["eco", "name"], "left_semi")
+        ids = named.select(F.col("vuln_id").alias("id")).distinct()
+        return _among(self.advisories, "id", ids).join(ids, "id", "left_semi")
 
     def enrichment(self) -> DataFrame:
         return enrich(self.advisories, self.table("epss"), self.table("kev"), self.info().get("source", "seed"))
 
     def has(self, vuln_id: str) -> bool:
-        return not self.advisories.where(F.col("id") == vuln_id).isEmpty()
+        return not self.advisories.where(F.col("id") == vuln_id).select("id").isEmpty()
 
     def is_empty(self) -> bool:
-        return not path_exists(self.spark, f"{self.path}/advisories") or self.advisories.isEmpty()
+        return self._version().number == 0 or self.advisories.isEmpty()
 
     def mined_count(self) -> int:
         return self.table("mined").agg(F.count_distinct("vuln_id")).first()[0]
 
     def info(self) -> dict:
-        """Snapshot facts (a handful of rows written by ``sync``)."""
-        facts = {r.key: r.value for r in self.table("meta").collect()}
+        """Snapshot facts, which ``sync`` notes in its commit."""
+        facts = dict(self._version().notes)
         for key in ("record_count", "epss_count", "kev_count"):
             if str(facts.get(key, "")).isdigit():
                 facts[key] = int(facts[key])
         return facts
+
+
+def affected_names(advisories: DataFrame) -> DataFrame:
+    """``eco, name, ecosystem, vuln_id`` of every package an advisory names."""
+    named = advisories.select(F.col("id").alias("vuln_id"), F.explode("affected").alias("a"))
+    return named.select(F.lower("a.ecosystem").alias("eco"), "a.name", "a.ecosystem", "vuln_id").distinct()
+
+
+def _among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` whose ``column`` is in ``wanted`` where the list is short; all of them otherwise."""
+    listed = wanted.distinct().limit(LISTED + 1).collect()
+    return rows.where(F.col(column).isin([r[0] for r in listed])) if len(listed) <= LISTED else rows

@@ -1,8 +1,8 @@
 """The operators applied to the benchmark tables, each with its check in SQL."""
 
-from plumbline.workload import coverage, graphs, matching, reports, scoring, texts
+from plumbline.workload import coverage, graphs, live, matching, reports, scoring, texts
 
-MODULES = (matching, scoring, graphs, texts, reports, coverage)
+MODULES = (matching, scoring, graphs, texts, reports, coverage, live)
 
 
 def queries() -> dict:
