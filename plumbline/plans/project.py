@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.fixed_values import VENDOR_DIRS
@@ -17,7 +17,7 @@ from plumbline.session import materialize
 from plumbline.sources.files import is_directory, path_exists, read_whole_files, under_any_dir
 from plumbline.sources.manifests import Resolution, read_project_files, resolve, scanned_projects
 from plumbline.sources.pyfacts import shared_facts, source_facts
-from plumbline.sources.tree import read_tree
+from plumbline.sources.tree import list_tree, read_tree
 from plumbline.store import AdvisoryStore
 
 # Where a project keeps its installed dependencies.
@@ -55,28 +55,33 @@ class ProjectScan:
         raise ValueError(f"unknown format {kind!r}; one of {', '.join(FORMATS)}")
 
 
-def read_code(spark: SparkSession, root: str, target: str, many: bool) -> tuple[DataFrame, DataFrame]:
+def read_code(spark: SparkSession, root: str, target: str, many: bool, listing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``(first-party files, dependency files)`` below ``root``.
 
-    Both come from one listing and are told apart by their path inside the
+    Both come from one listing and are told apart there by their path inside the
     project: installed packages lie in well-known folders, vendored and build
-    folders hold no first-party code.
+    folders hold no first-party code and are never opened.
     """
-    files = read_tree(spark, root)
-    inner = F.col("path")
-    if many:
-        project, path = F.substring_index(inner, "/", 1), F.regexp_replace(inner, "^[^/]*/", "")
-        files = files.where(inner.contains("/"))
-    else:
-        project, path = F.lit(target), inner
-    placed = files.select(project.alias("project"), path.alias("path"), "content", "error")
+    listing = list_tree(spark, root) if listing is None else listing
+
+    def placed(rows: DataFrame) -> DataFrame:
+        if not many:
+            return rows.withColumn("project", F.lit(target)).withColumn("inner", F.col("path"))
+        inner = F.regexp_replace("path", "^[^/]*/", "")
+        return rows.where(F.col("path").contains("/")).withColumn("project", F.substring_index("path", "/", 1)).withColumn("inner", inner)
+
+    def contents(which: Column) -> DataFrame:
+        chosen = placed(listing).where(which).select("path", "size", "error")
+        return placed(read_tree(spark, root, listing=chosen)).withColumn("path", F.col("inner")).drop("inner")
+
+    first_party = contents(~under_any_dir(F.col("inner"), VENDOR_DIRS))
     folder = F.regexp_extract("path", SITE_PACKAGES, 0)
     # The order of the roots: virtual environments, then PEP 582 folders.
     order = F.when(folder.startswith(".venv"), "1").when(folder.startswith("venv"), "2").when(folder.startswith("env"), "3").otherwise("4")
-    dependency = placed.where(folder != "").select(
+    dependency = contents(F.col("inner").rlike(SITE_PACKAGES)).select(
         "project", F.concat(order, F.lit(":"), folder).alias("root_ix"), F.regexp_replace("path", SITE_PACKAGES, "").alias("path"), "content", "error"
     )
-    return placed.where(~under_any_dir(F.col("path"), VENDOR_DIRS)), dependency
+    return first_party.select("project", "path", "content", "error"), dependency
 
 
 def read_dependency_roots(spark: SparkSession, roots: list[str], project: str) -> DataFrame | None:
@@ -125,10 +130,11 @@ def scan_target(
     target = target.rstrip("/")
     is_dir = is_directory(spark, target)
     root = target if is_dir else target.rpartition("/")[0]
-    resolution = resolve(read_project_files(spark, target, is_dir, many), scanned_projects(spark, root if is_dir else target, many))
+    listing = list_tree(spark, root)
+    resolution = resolve(read_project_files(spark, target, is_dir, many, listing), scanned_projects(spark, root if is_dir else target, many))
     resolution.packages = materialize(resolution.packages, "resolved")
     resolution.edges = materialize(resolution.edges, "edges")
-    own, installed = read_code(spark, root, target, many)
+    own, installed = read_code(spark, root, target, many, listing)
     named = read_dependency_roots(spark, deps_paths or [], target)
     dep_files = installed if named is None else named.unionByName(installed)
     trace = None

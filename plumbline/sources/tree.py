@@ -1,14 +1,17 @@
 """Source trees, including the names Spark's own file sources hide.
 
 Spark skips files and folders whose names start with ``_`` or ``.``, so it never
-sees ``__init__.py`` or ``.venv``. Here one task lists the root, tasks list the
-folders in it, and the files found are dealt by their number and size before any
-is read. No folder is left out; who reads the rows decides which count.
+sees ``__init__.py`` or ``.venv``. Here tasks walk the folders in rounds: one that
+has met enough entries hands the folders it has not opened back, and the next
+round deals them over all tasks, so no folder is one task's alone. The listing is
+a table; filters on it decide which files are opened at all, and those are dealt
+by their number and size. No folder is left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from math import ceil
 
 import pyarrow as pa
@@ -20,9 +23,11 @@ from plumbline.functions.text import lossy_utf8
 from plumbline.session import PARSE_BYTES, materialize
 
 UNITS = pa.schema([("unit", pa.string()), ("is_dir", pa.bool_()), ("size", pa.int64())])
-FILES = pa.schema([("path", pa.string()), ("size", pa.int64())])
+ENTRIES = pa.schema([("path", pa.string()), ("size", pa.int64()), ("error", pa.string()), ("is_dir", pa.bool_())])
 CONTENTS = pa.schema([("path", pa.string()), ("value", pa.binary()), ("error", pa.string())])
 FOLDERS_PER_TASK, FILES_PER_TASK = 64, 4096
+# Entries a task meets before it hands folders back: few in the first round, which is a single task.
+FIRST_ENTRIES, ROUND_ENTRIES = 256, 16384
 
 
 def list_root(spark: SparkSession, root: str) -> DataFrame:
@@ -45,58 +50,95 @@ def list_root(spark: SparkSession, root: str) -> DataFrame:
     return spark.range(1, numPartitions=1).mapInArrow(entries, "unit string, is_dir boolean, size long")
 
 
-def read_tree(spark: SparkSession, root: str, suffix: str = ".py") -> DataFrame:
-    """Rows ``path, content, error`` of the files below ``root``, paths relative to it.
+def _problem(error: OSError) -> str:
+    return f"{type(error).__name__}: {error.strerror or error}"
 
-    ``root`` is an absolute path or a URI that every executor can read. A file
-    that cannot be read is a row with its ``error`` and no content; a folder that
-    cannot be listed is one as well.
-    """
 
-    def list_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = pafs.FileSystem.from_uri(root)
+def _walk(root: str, entries: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Lists the folders of a batch and what lies below, up to about ``entries`` entries; the rest comes back unopened."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = pafs.FileSystem.from_uri(root)
+        top = top.rstrip("/")
+
+        def rows(paths: list[str], sizes: list[int], error: str | None, is_dir: bool) -> pa.RecordBatch:
+            n = len(paths)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(paths, pa.string()), pa.array(sizes, pa.int64()), pa.array([error] * n, pa.string()), pa.array([is_dir] * n, pa.bool_())],
+                schema=ENTRIES,
+            )
+
         for batch in batches:
-            for unit in batch.to_pylist():
-                if not unit["is_dir"]:
-                    kept = [(unit["unit"], unit["size"])] if unit["unit"].endswith(suffix) else []
-                    yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in kept], pa.string()), pa.array([s for _, s in kept], pa.int64())], schema=FILES)
+            folders, met = batch.column(0).to_pylist(), 0
+            while folders and met < entries:
+                folder = folders.pop()
+                try:
+                    found = store.get_file_info(pafs.FileSelector(f"{top}/{folder}", allow_not_found=folder == ""))
+                except OSError as problem:
+                    yield rows([folder], [0], _problem(problem), False)
                     continue
-                folders = [unit["unit"]]
-                while folders:
-                    folder = folders.pop()
-                    try:
-                        found = store.get_file_info(pafs.FileSelector(folder))
-                    except OSError:
-                        # Read again as a file it fails there, and its row says so.
-                        yield pa.RecordBatch.from_arrays([pa.array([folder], pa.string()), pa.array([0], pa.int64())], schema=FILES)
-                        continue
-                    folders += [f.path for f in found if f.type == pafs.FileType.Directory]
-                    files = [f for f in found if f.type != pafs.FileType.Directory and f.path.endswith(suffix)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([f.path for f in files], pa.string()), pa.array([f.size or 0 for f in files], pa.int64())], schema=FILES
-                    )
+                met += len(found)
+                folders += [f.path[len(top) + 1 :] for f in found if f.type == pafs.FileType.Directory]
+                files = [f for f in found if f.type != pafs.FileType.Directory]
+                yield rows([f.path[len(top) + 1 :] for f in files], [f.size or 0 for f in files], None, False)
+            yield rows(folders, [0] * len(folders), None, True)
+
+    return walk
+
+
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """Rows ``path, size, error`` of all files below ``root``, paths relative to it; no file is opened.
+
+    ``root`` is an absolute path or a URI that every executor can read. A folder
+    that cannot be listed is a row with its ``error``. The rows are written, so
+    that filters on them are cheap and cost no second walk.
+    """
+    folders, tasks, entries, rounds = spark.range(1).select(F.lit("").alias("path")), 1, FIRST_ENTRIES, []
+    while True:
+        walked = folders.repartition(tasks, "path").mapInArrow(_walk(root, entries), "path string, size long, error string, is_dir boolean")
+        walked = materialize(walked, "listed")
+        rounds.append(walked.where("not is_dir"))
+        folders = walked.where("is_dir").select("path")
+        left = folders.count()
+        if not left:
+            return reduce(DataFrame.unionByName, rounds).drop("is_dir")
+        tasks = max(ceil(left / FOLDERS_PER_TASK), min(left, spark.sparkContext.defaultParallelism))
+        entries = ROUND_ENTRIES
+
+
+def read_listed(spark: SparkSession, root: str, listing: DataFrame) -> DataFrame:
+    """Rows ``path, value, error``: the bytes of the files of ``listing``, and of no others.
+
+    A file that cannot be read is a row with its ``error`` and no value; rows of
+    the listing that have an error are passed on.
+    """
 
     def read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = pafs.FileSystem.from_uri(root)
-        cut = len(top.rstrip("/")) + 1
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                value, error = None, None
-                try:
-                    with store.open_input_stream(path) as stream:
-                        value = stream.read()
-                except OSError as problem:
-                    error = f"{type(problem).__name__}: {problem.strerror or problem}"
+            for path, error in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                value = None
+                if error is None:
+                    try:
+                        with store.open_input_stream(f"{top.rstrip('/')}/{path}") as stream:
+                            value = stream.read()
+                    except OSError as problem:
+                        error = _problem(problem)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([path[cut:]], pa.string()), pa.array([value], pa.binary()), pa.array([error], pa.string())], schema=CONTENTS
+                    [pa.array([path], pa.string()), pa.array([value], pa.binary()), pa.array([error], pa.string())], schema=CONTENTS
                 )
 
-    units = materialize(list_root(spark, root), "units")
-    folders = units.count()
-    dealt = units.repartition(max(1, ceil(folders / FOLDERS_PER_TASK)), "unit")
-    listed = materialize(dealt.mapInArrow(list_files, "path string, size long"), "listed")
-    size = listed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+    size = listing.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
     tasks = max(ceil(size.n / FILES_PER_TASK), ceil(size.bytes / PARSE_BYTES), 1)
     tasks = max(tasks, min(size.n, spark.sparkContext.defaultParallelism))
-    contents = listed.repartition(tasks, "path").mapInArrow(read_files, "path string, value binary, error string")
+    return listing.select("path", "error").repartition(tasks, "path").mapInArrow(read_files, "path string, value binary, error string")
+
+
+def read_tree(spark: SparkSession, root: str, suffix: str = ".py", listing: DataFrame | None = None) -> DataFrame:
+    """Rows ``path, content, error`` of the files below ``root`` with this suffix; folders that cannot be listed are rows too.
+
+    ``listing`` is what ``list_tree`` gave, all of it or the part to be read.
+    """
+    listed = list_tree(spark, root) if listing is None else listing
+    contents = read_listed(spark, root, listed.where(F.col("path").endswith(suffix) | F.col("error").isNotNull()))
     return contents.select("path", lossy_utf8(F.col("value")).alias("content"), "error")
