@@ -1,8 +1,8 @@
 """The operators applied to the benchmark tables, each with its check in SQL."""
 
-from plumbline.workload import coverage, folders, graphs, live, matching, reports, scoring, texts
+from plumbline.workload import coverage, folders, graphs, live, matching, reports, scoring, sqltext, texts
 
-MODULES = (matching, scoring, graphs, texts, reports, coverage, live, folders)
+MODULES = (matching, scoring, graphs, texts, reports, coverage, live, folders, sqltext)
 
 
 def queries() -> dict:
