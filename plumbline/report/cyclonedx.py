@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline import TOOL_NAME, __version__
 from plumbline.functions.identity import coordinate
 from plumbline.report.document import as_json, document, finding_order, fixed, items, order_key
-from plumbline.report.json_report import advisory_texts
+from plumbline.report.json_report import with_advisory_texts
 from plumbline.report.manifest import ScanFacts
 
 
@@ -58,7 +58,7 @@ def analysis() -> tuple[Column, Column]:
 
 def vulnerabilities(findings: DataFrame, advisories: DataFrame) -> DataFrame:
     """``project, ord, text``: one entry per vulnerability finding."""
-    rich = findings.where("kind = 'vulnerability'").join(advisory_texts(advisories).select("vuln_id", "summary"), "vuln_id", "left")
+    rich = with_advisory_texts(findings.where("kind = 'vulnerability'"), advisories, ["summary"], ["project", "name"])
     state, detail = analysis()
     rating = F.struct(
         F.struct(F.when(F.col("vuln_id").contains("CVE"), "NVD").otherwise("OSV").alias("name")).alias("source"),

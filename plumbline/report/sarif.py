@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline import TOOL_NAME, __version__
 from plumbline.functions.text import basename, exact_round
 from plumbline.report.document import as_json, document, finding_order, fixed, items, order_key
-from plumbline.report.json_report import advisory_texts
+from plumbline.report.json_report import with_advisory_texts
 from plumbline.report.manifest import ScanFacts
 
 
@@ -34,7 +34,7 @@ def rules(findings: DataFrame, advisories: DataFrame) -> DataFrame:
     first = ranked.groupBy("project", "rule").agg(
         F.min_by(F.struct("kind", "title", "vuln_id", "cve"), "ord").alias("f"), F.min("ord").alias("ord")
     )
-    rich = first.select("project", "rule", "ord", "f.*").join(advisory_texts(advisories), "vuln_id", "left")
+    rich = with_advisory_texts(first.select("project", "rule", "ord", "f.*"), advisories, ["details", "help_uri"], ["project", "rule"])
     body = F.struct(
         F.col("rule").alias("id"),
         F.replace("rule", F.lit("-"), F.lit("")).alias("name"),

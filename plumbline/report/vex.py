@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline import TOOL_NAME, __version__
 from plumbline.plans.digest import parallel_digest
 from plumbline.report.document import as_json, document, finding_order, fixed, items
-from plumbline.report.json_report import advisory_texts
+from plumbline.report.json_report import with_advisory_texts
 from plumbline.report.manifest import ScanFacts
 
 CONTEXT = "https://openvex.dev/ns/v0.2.0"
@@ -28,9 +28,8 @@ def status() -> Column:
 
 def statements(findings: DataFrame, advisories: DataFrame) -> DataFrame:
     """``project, ord, text``: one statement per vulnerability finding."""
-    rich = findings.where("kind = 'vulnerability'").withColumn("vex", status()).join(
-        advisory_texts(advisories).select("vuln_id", "aliases"), "vuln_id", "left"
-    )
+    found = findings.where("kind = 'vulnerability'").withColumn("vex", status())
+    rich = with_advisory_texts(found, advisories, ["aliases"], ["project", "name"])
     clear = F.col("vex") == "not_affected"
     action = F.when(
         (F.col("vex") == "affected") & (F.size("fixed_versions") > 0),
