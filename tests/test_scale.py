@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.plans import derived
 from plumbline.report import vex
 from plumbline.sources import requirements
+from plumbline.workload import reports
 
 FOUND = "project string, kind string, name string, version string, vuln_id string, signal string, cve string, purl string, status string, proven_sink_unreachable boolean, fixed_versions array<string>, risk struct<value:double>"
 TEXTS = "id string, aliases array<string>, summary string, details string, fix_commits array<string>, references array<struct<url:string>>"
@@ -35,3 +36,12 @@ def test_a_table_in_one_part_is_dealt_over_all_tasks(spark, tmp_path):
     rows = derived.run(spark, str(tmp_path), "SELECT 'o' || CAST(o_orderkey AS STRING) AS t FROM {orders}", deal=("orders",))
     assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert {r.t for r in rows.collect()} == {f"o{i}" for i in range(100)}
+
+
+def test_ranking_writes_only_what_it_needs(spark, monkeypatch):
+    row = ("p", "vulnerability", "n", "1", "V-1", None, None, "pkg:pypi/n@1", "reachable", False, ["2"], (5.0,))
+    found = spark.createDataFrame([row, ("q", *row[1:-1], (7.0,))], FOUND)
+    monkeypatch.setattr(reports, "findings", lambda spark, sf: found)
+    out = reports.ranked_findings(spark, "")
+    assert [(r.project, r.ordinal) for r in out.orderBy("ordinal").collect()] == [("q", 1), ("p", 2)]
+    assert "purl" not in spark.read.parquet(*out.inputFiles()).columns
