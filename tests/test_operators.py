@@ -10,8 +10,8 @@ from plumbline.operators import callgraph, diff, mining, supply_chain
 from plumbline.operators.graph import closure, paths, walk
 from plumbline.operators.traces import fold_calls, load_trace, trace_documents
 from plumbline.sources import requirements
-from plumbline.sources.manifests import mark_direct, merge_packages, most_trusted, resolve
-from plumbline.sources.pyfacts import source_facts
+from plumbline.sources.manifests import dependency_edges, mark_direct, merge_packages, most_trusted, resolve
+from plumbline.sources.pyfacts import file_facts, source_facts
 from plumbline.streaming.feeds import match_drops, read_advisory_drops, stream_calls
 
 
@@ -267,3 +267,23 @@ def test_skewed_package_keeps_every_row(spark, store):
         F.when(F.col("id") % 3 == 0, "yam-lib").otherwise(F.concat(F.lit("p"), F.col("id"))).alias("name"), F.lit("5.3").alias("version"),
     )
     assert matching.attach_hits(installs, matching.match_versions(installs, store.index())).count() == 1000
+
+
+def test_calls_carry_the_last_binding_of_their_file():
+    """No join has to find out what a name means inside one file."""
+    facts = file_facts("import a.b as x\nfrom ..c import y\nfrom . import z\nif 1:\n    import q as y\nx.f()\ny()\nz.g()\nfree()\nimport last as x\n")
+    calls = {(f.get("base"), f["name"]): (f.get("level"), f.get("bind_base"), f.get("bind_name")) for f in facts if f["kind"] == "call"}
+    assert calls == {("x", "f"): (0, "last", None), (None, "y"): (2, "c", "y"), ("z", "g"): (1, None, "z"), (None, "free"): (None, None, None)}
+
+
+def test_dependency_edges_are_moved_once(spark):
+    rows = [("p", "a", ["b", "b", "x"]), ("p", "b", ["a"]), ("p", "a", ["b"]), ("q", "b", ["a", "b"]), (None, "a", ["a"]), ("q", None, [None])]
+    packages = spark.createDataFrame(rows, "project string, name string, depends_on array<string>")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = dependency_edges(packages)
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+        assert sorted(map(tuple, found.collect())) == [("p", "a", "b"), ("p", "b", "a"), ("q", "b", "b")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
