@@ -255,10 +255,12 @@ def near_duplicates(
     tried = scratch.table(
         buckets.where("mark <> head").select(F.col("head").alias("a"), F.col("mark").alias("b")).distinct(), "pairs"
     )
-    links = scratch.table(verify(tried, texts, rows, threshold, scratch), "links")
+    # Every member of a bucket is in one of these pairs, so the rounds below need no other text.
+    body = texts_of(tried.select(F.col("a").alias("mark")).unionAll(tried.select("b")).distinct(), texts, rows, scratch)
+    links = scratch.table(verify(tried, body, threshold), "links")
     classes = components(links, scratch, "a", "b")
     for across in (False, True):
-        more = rest_of(buckets, nodes, classes, texts, rows, threshold, scratch, across)
+        more = rest_of(buckets, nodes, classes, body, threshold, scratch, across)
         if more is not None and not more.isEmpty():
             links = links.unionByName(more)
             classes = components(links, scratch, "a", "b")
@@ -272,7 +274,7 @@ def near_duplicates(
 
 
 def rest_of(
-    buckets: DataFrame, nodes: DataFrame, classes: DataFrame, texts: DataFrame, rows: DataFrame, threshold: float, scratch: Scratch, across: bool
+    buckets: DataFrame, nodes: DataFrame, classes: DataFrame, body: DataFrame, threshold: float, scratch: Scratch, across: bool
 ) -> DataFrame | None:
     """Links ``a, b`` that join the classes left in mixed buckets: within blocks, or ``across`` blocks of one bucket."""
     placed = buckets.join(classes.withColumnRenamed("node", "mark"), "mark", "left").select(
@@ -290,7 +292,6 @@ def rest_of(
     placed = scratch.table(placed.withColumn("own", F.pmod(F.xxhash64("mark"), F.col("blocks")).cast("int")).drop("head"), "mixed")
     if placed.isEmpty():
         return None
-    body = texts_of(placed.select("mark").distinct(), texts, rows, scratch)
     full = placed.join(nodes.select("mark", "sketch", "bag"), "mark").join(body, "mark")
     if across:
         # Few are outside the main class as a rule; their blocks are dealt anew, so that others are copied no more often than needed.
@@ -380,9 +381,8 @@ def texts_of(wanted: DataFrame, texts: DataFrame, rows: DataFrame, scratch: Scra
     return scratch.table(found.select("mark", "text").dropDuplicates(["mark"]), "texts")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, rows: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """The pairs of marks whose texts align."""
-    body = texts_of(pairs.select(F.col("a").alias("mark")).unionAll(pairs.select("b")).distinct(), texts, rows, scratch)
+def verify(pairs: DataFrame, body: DataFrame, threshold: float) -> DataFrame:
+    """The pairs of marks whose texts (``body``: ``mark, text``) align."""
     left = pairs.join(body.select(F.col("mark").alias("a"), F.col("text").alias("ta")), "a")
     both = left.join(body.select(F.col("mark").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 

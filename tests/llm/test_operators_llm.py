@@ -526,3 +526,17 @@ def test_ties_and_unknown_characters_without_bytes():
     for _ in range(500):
         text = "".join(rng.choice("ab xy") for _ in range(rng.randint(1, 14)))
         assert counter.text(text)[0] == len(tokenizer.encode(text, add_special_tokens=False).ids), text
+
+
+def test_order_minhash_fetches_texts_once(spark, monkeypatch):
+    """Whole texts are read and moved for the first pairs only; mixed buckets, within and across blocks, use the same ones."""
+    calls = []
+    fetch = order_minhash.texts_of
+    monkeypatch.setattr(order_minhash, "texts_of", lambda *given: calls.append(1) or fetch(*given))
+    monkeypatch.setattr(order_minhash, "BLOCK", 2)
+    same = [f"w{i}" for i in range(60)]
+    rows = [(n, " ".join([*same, *[f"d{n}x{i}" for i in range(30)]])) for n in range(8)]
+    rows += [(100 + n, f"{text} {text.split()[0]}") for n, text in rows]
+    got = order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {n: n % 100 for n, _ in rows}
+    assert len(calls) == 1
