@@ -93,9 +93,9 @@ def read_dependency_roots(spark: SparkSession, roots: list[str], project: str) -
     return found
 
 
-def facts_or_errors(files: DataFrame, *carry: str, shared: bool = False) -> DataFrame:
-    """Facts of the files; one that could not be read is an ``unparsed`` row with the error."""
-    facts = (shared_facts if shared else source_facts)(files.where("error is null"), *carry)
+def facts_or_errors(files: DataFrame, *carry: str, shared: bool = False, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """Facts of the files, of these ``kinds`` if named; one that could not be read is an ``unparsed`` row with the error."""
+    facts = (shared_facts if shared else source_facts)(files.where("error is null"), *carry, kinds=kinds)
     failed = files.where("error is not null").select(*carry, F.lit("unparsed").alias("kind"), F.col("error").alias("name"))
     return facts.unionByName(failed, allowMissingColumns=True)
 

@@ -138,9 +138,9 @@ FROM part, (VALUES ('class', 'A', 1, 7), ('def', 'A.f', 3, 4), ('def', 'A.g', 6,
 
 def unusable_sources(spark: SparkSession, sf: str) -> DataFrame:
     """Warnings about sources that are no valid Python or could not be read."""
-    files = spread(derived.run(spark, sf, derived.SOURCES), "content")
+    files = derived.run(spark, sf, derived.SOURCES, deal=("lineitem", "orders"))
     files = files.withColumn("error", F.when(F.col("path") == "other.py", F.lit("OSError: denied")))
-    return source_warnings(facts_or_errors(files, "project", "path"))
+    return source_warnings(facts_or_errors(files, "project", "path", kinds=("unparsed",)))
 
 
 UNUSABLE_SOURCES = """

@@ -25,3 +25,15 @@ def test_reports_are_written_packed(spark, tmp_path):
         texts.append(sorted(r.value for r in spark.read.schema("value string, project string").text(str(where)).collect()))
     assert texts[0] == texts[1] and len(texts[0]) == 4000
     assert sizes[1] * 4 < sizes[0]
+
+
+def test_warnings_take_only_their_facts(spark, tmp_path, monkeypatch):
+    files = spark.createDataFrame([("p", "a.py", "x = f(1)\n", None), ("p", "b.py", "def (", None), ("p", "c.py", None, "OSError: x")], "project string, path string, content string, error string")
+    got = facts_or_errors(files, "project", "path", kinds=("unparsed",))
+    assert {(r.path, r.kind, r.name) for r in got.collect()} == {("b.py", "unparsed", "SyntaxError"), ("c.py", "unparsed", "OSError: x")}
+    monkeypatch.setattr(coverage, "spread", lambda *_: 1 / 0)  # deals texts; the rows they are made of are dealt instead
+    lines = "SELECT 1L AS l_orderkey, 4L AS l_partkey, 1L AS l_suppkey, 1 AS l_linenumber"
+    spark.sql(lines).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.sql("SELECT 3L AS o_orderkey, 1L AS o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
+    said = {(r.project, r.message) for r in coverage.unusable_sources(spark, str(tmp_path)).collect()}
+    assert said == {("1", "1 source files could not be used (SyntaxError), first m1_4_1.py"), ("3", "1 source files could not be used (OSError: denied), first other.py")}
