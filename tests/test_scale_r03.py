@@ -37,3 +37,28 @@ def test_warnings_take_only_their_facts(spark, tmp_path, monkeypatch):
     spark.sql("SELECT 3L AS o_orderkey, 1L AS o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
     said = {(r.project, r.message) for r in coverage.unusable_sources(spark, str(tmp_path)).collect()}
     assert said == {("1", "1 source files could not be used (SyntaxError), first m1_4_1.py"), ("3", "1 source files could not be used (OSError: denied), first other.py")}
+
+
+def test_dependency_facts_are_read_once(spark):
+    bad = "import os\nos.system('x')\n"
+    files = spark.createDataFrame([("p", 0, "a_b/__init__.py", "x = 1\n"), ("p", 1, "a_b/__init__.py", bad), ("p", 1, "c.py", bad), ("p", 0, "d/e.py", bad), (None, 0, "c.py", bad)], "project string, root_ix int, path string, content string")
+    direct = spark.createDataFrame([("p", "a-b"), ("p", "c"), ("p", "d"), ("q", "c"), (None, "c"), ("p", None)], "project string, name string")
+    found = supply_chain.behaviour_signals(direct, shared_facts(files, "project", "root_ix", "path"))
+    assert {(r.project, r.name, r.detail) for r in found.collect()} == {
+        ("p", "c", "Suspicious AST patterns detected: os.system call in c.py"), ("p", "d", "Suspicious AST patterns detected: os.system call in e.py")
+    }
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_direct_packages_without_a_key(spark):
+    packages = spark.createDataFrame(
+        [("p", "a", False), ("p", "b", False), ("p", None, False), ("q", "a", True), ("q", "b", False), ("q", None, False), (None, "a", False), ("r", "a", False), ("r", "b", False), ("r", None, False), ("p", "a", False)],
+        "project string, name string, direct boolean",
+    )
+    edges = spark.createDataFrame([("p", "a", "b"), ("q", "a", "b"), (None, "a", "a")], "project string, src string, dst string")
+    declared = spark.createDataFrame([("r", "b")], "project string, name string")
+    got = sorted((str(r.project), str(r.name), r.direct) for r in manifests.mark_direct(packages, edges, declared).collect())
+    assert got == sorted([
+        ("p", "a", True), ("p", "a", True), ("p", "b", False), ("p", "None", True), ("q", "a", True), ("q", "b", False), ("q", "None", False),
+        ("None", "a", True), ("r", "a", False), ("r", "b", True), ("r", "None", False),
+    ])
