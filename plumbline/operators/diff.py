@@ -24,6 +24,28 @@ def _diff_path(line: Column) -> Column:
     return F.when(path.isin("/dev/null", ""), F.lit(None)).otherwise(F.regexp_replace(path, "^[ab]/", ""))
 
 
+def _marked(lines: DataFrame) -> DataFrame:
+    """Adds what the windows need of a line, so that its text is only moved for those who want it.
+
+    ``mark`` is the kind of header a line looks like, else its first character;
+    ``head`` is the text of such a header line, NULL for all others.
+    """
+    line = F.col("line")
+    header = (
+        F.when(line.startswith("diff --git"), "git")
+        .when(line.startswith("--- "), "old")
+        .when(line.startswith("+++ "), "new")
+        .when(line.rlike(HUNK_HEADER), "hunk")
+    )
+    return lines.withColumn("mark", F.coalesce(header, F.left(line, F.lit(1)))).withColumn("head", F.when(F.length("mark") > 1, line))
+
+
+def _tag() -> Column:
+    """The first character of a line."""
+    mark = F.col("mark")
+    return F.when(mark == "git", "d").when(mark == "old", "-").when(mark == "new", "+").when(mark == "hunk", "@").otherwise(mark)
+
+
 def _inside_counts(lines: DataFrame, *keys: str) -> DataFrame:
     """Adds ``bounded``: a line that looks like a file header but is body, because its hunk still lacks such lines.
 
@@ -32,21 +54,22 @@ def _inside_counts(lines: DataFrame, *keys: str) -> DataFrame:
     are missing, ``--- `` is a removed and ``+++ `` an added line. An old file
     header that is none closes the hunk. One window over each patch, no state.
     """
-    opens = F.col("line").startswith("diff --git") | F.col("line").rlike(HUNK_HEADER)
+    mark = F.col("mark")
+    opens = mark.isin("git", "hunk")
     upto = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = lines.withColumn("opened", F.max(F.when(opens, F.col("pos"))).over(upto))
     inside = Window.partitionBy(*keys, "opened").orderBy("pos")
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    count = lambda i: F.coalesce(F.nullif(F.regexp_extract("line", HUNK_HEADER, i), F.lit("")), F.lit("1")).try_cast("long")
-    wanted = lambda i: F.first(F.when(F.col("line").rlike(HUNK_HEADER), count(i))).over(inside)
-    tag = F.left("line", F.lit(1))
+    count = lambda i: F.coalesce(F.nullif(F.regexp_extract("head", HUNK_HEADER, i), F.lit("")), F.lit("1")).try_cast("long")
+    wanted = lambda i: F.first(F.when(mark == "hunk", count(i))).over(inside)
+    tag = _tag()
     body = (F.col("pos") > F.col("opened")) & (tag != "\\")
     came = lambda other: F.coalesce(F.sum((body & (tag != other)).cast("long")).over(before), F.lit(0))
     old = cut.withColumn("lacks_old", F.coalesce(wanted(2) > came("+"), F.lit(False))).withColumn("lacks_new", F.coalesce(wanted(4) > came("-"), F.lit(False)))
-    closes = F.col("line").startswith("--- ") & ~F.col("lacks_old")
+    closes = (mark == "old") & ~F.col("lacks_old")
     closed = F.coalesce(F.max(closes.cast("int")).over(before) == 1, F.lit(False))
-    is_body = (F.col("line").startswith("--- ") & F.col("lacks_old")) | (F.col("line").startswith("+++ ") & F.col("lacks_new"))
-    return old.withColumn("bounded", is_body & ~closed).select(*keys, "pos", "line", "bounded")
+    is_body = ((mark == "old") & F.col("lacks_old")) | ((mark == "new") & F.col("lacks_new"))
+    return old.withColumn("bounded", is_body & ~closed).select(*keys, "pos", "line", "mark", "head", "bounded")
 
 
 def diff_lines(patches: DataFrame, *keys: str, bounded: bool = True) -> DataFrame:
@@ -54,19 +77,15 @@ def diff_lines(patches: DataFrame, *keys: str, bounded: bool = True) -> DataFram
 
     ``role``: git, old, new (file headers), hunk, added, removed, other. Lines
     carry ``file_ix`` (0 before the first file), ``hunk_ix`` (position of their
-    hunk header, NULL outside hunks), and for added/removed lines ``lineno``.
+    hunk header, NULL outside hunks), and for added/removed lines ``lineno``;
+    ``head`` is the text of lines that look like a header.
     While a hunk lacks lines that its header counts, ``--- `` and ``+++ `` are such
     lines; with ``bounded=False`` they always open a file.
     """
     lines = patches.select(*keys, F.posexplode(split_lines(F.col("content"))).alias("pos", "line"))
+    lines = _marked(lines)
     lines = _inside_counts(lines, *keys) if bounded else lines.withColumn("bounded", F.lit(False))
-    role = (
-        F.when(F.col("bounded"), None)
-        .when(F.col("line").startswith("diff --git"), "git")
-        .when(F.col("line").startswith("--- "), "old")
-        .when(F.col("line").startswith("+++ "), "new")
-        .when(F.col("line").rlike(HUNK_HEADER), "hunk")
-    )
+    role = F.when(~F.col("bounded") & F.col("head").isNotNull(), F.col("mark"))
     upto = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     is_role = lambda name: F.coalesce(F.col("role") == name, F.lit(False))
     numbered = lines.withColumn("role", role).withColumn("n_git", F.sum(is_role("git").cast("int")).over(upto))
@@ -78,9 +97,9 @@ def diff_lines(patches: DataFrame, *keys: str, bounded: bool = True) -> DataFram
     cut = ruled.withColumn("section", section)
     inside = Window.partitionBy(*keys, "section").orderBy("pos")
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    part = lambda i: F.regexp_extract("line", HUNK_HEADER, i)
+    part = lambda i: F.regexp_extract("head", HUNK_HEADER, i)
     header = lambda i: F.first(F.when(is_role("hunk"), part(i)), ignorenulls=False).over(inside)
-    tag = F.left("line", F.lit(1))
+    tag = _tag()
     body = F.col("role").isNull() & F.col("in_hunk")
     marked = (
         cut.withColumn("in_hunk", F.first(is_role("hunk")).over(inside))
@@ -110,13 +129,14 @@ def diff_lines(patches: DataFrame, *keys: str, bounded: bool = True) -> DataFram
         F.when(body & (F.col("tag") == "+"), F.col("new_no"))
         .when(body & (F.col("tag") == "-"), F.col("old_no"))
         .alias("lineno"),
+        "head",
     )
 
 
 def diff_files(lines: DataFrame, *keys: str) -> DataFrame:
     """``keys, file_ix, old_path, new_path, is_python``; the last header counts."""
     headers = lines.where("file_ix > 0 and role in ('git', 'old', 'new')")
-    path = F.struct(_diff_path(F.col("line")).alias("p"))
+    path = F.struct(_diff_path(F.col("head")).alias("p"))
     last = lambda role: F.max_by(path, F.when(F.col("role") == role, F.col("pos")))["p"]
     files = headers.groupBy(*keys, "file_ix").agg(last("old").alias("old_path"), last("new").alias("new_path"))
     return files.withColumn(
@@ -126,7 +146,7 @@ def diff_files(lines: DataFrame, *keys: str) -> DataFrame:
 
 def diff_hunks(lines: DataFrame, *keys: str) -> DataFrame:
     """``keys, file_ix, hunk_ix, old_start, old_count, new_start, new_count, section``."""
-    part = lambda i: F.regexp_extract("line", HUNK_HEADER, i)
+    part = lambda i: F.regexp_extract("head", HUNK_HEADER, i)
     count = lambda i: F.coalesce(F.nullif(part(i), F.lit("")), F.lit("1")).try_cast("long")
     return lines.where("role = 'hunk'").select(
         *keys,

@@ -62,3 +62,16 @@ def test_direct_packages_without_a_key(spark):
         ("p", "a", True), ("p", "a", True), ("p", "b", False), ("p", "None", True), ("q", "a", True), ("q", "b", False), ("q", "None", False),
         ("None", "a", True), ("r", "a", False), ("r", "b", True), ("r", "None", False),
     ])
+
+
+def test_body_texts_are_not_moved_for_line_numbers(spark):
+    df = spark.createDataFrame([("A", "--- a/n\n+++ b/n\n@@ -1 +1 @@\n-old\n+new\n")], "advisory string, content string")
+    changes = diff.diff_changes(diff.diff_lines(df, "advisory"), "advisory").select("side", "lineno")
+    assert {tuple(r) for r in changes.collect()} == {("removed", 1), ("added", 1)}
+    node, windows = changes._jdf.queryExecution().optimizedPlan(), 0
+    while node.children().nonEmpty():
+        if node.nodeName() == "Window":
+            windows += 1
+            assert "line#" not in node.output().mkString(" "), node.toString()
+        node = node.children().head()
+    assert windows
