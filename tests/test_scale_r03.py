@@ -75,3 +75,13 @@ def test_body_texts_are_not_moved_for_line_numbers(spark):
             assert "line#" not in node.output().mkString(" "), node.toString()
         node = node.children().head()
     assert windows
+
+
+def test_requirement_files_are_cut_once(spark, monkeypatch):
+    cut = []
+    real = requirements.requirement_lines
+    monkeypatch.setattr(requirements, "requirement_lines", lambda files: cut.append(files) or real(files))
+    files = spark.createDataFrame([("a.txt", "x==1\n-r b.txt\n"), ("b.txt", "y==2\n-r c.txt\n"), ("c.txt", "z\n"), ("d.txt", "w\n"), ("e.txt", None)], "path string, content string")
+    packages, missing = requirements.requirement_packages(spark.createDataFrame([("p", "a.txt"), ("p", "e.txt")], "project string, path string"), files)
+    assert sorted(r.name for r in packages.collect()) == ["x", "y", "z"] and missing.count() == 0
+    assert sorted(r.path for df in cut for r in df.select("path").collect()) == ["a.txt", "b.txt", "c.txt", "e.txt"]
