@@ -54,7 +54,7 @@ def write_tree(files: DataFrame, root: str) -> None:
 def folder_scan(spark: SparkSession, sf: str) -> DataFrame:
     """The packages, first-party and installed sources of all projects in a folder."""
     root = f"{scratch_dir(spark)}/tree-{uuid.uuid4().hex}"
-    write_tree(derived.run(spark, sf, _TREE), root)
+    write_tree(derived.run(spark, sf, _TREE, deal=("customer",)), root)
     listing = list_tree(spark, root)
     found = resolve(read_project_files(spark, root, True, True, listing), scanned_projects(spark, root, True)).packages
     own, installed = read_code(spark, root, root, True, listing)

@@ -85,3 +85,20 @@ def test_requirement_files_are_cut_once(spark, monkeypatch):
     packages, missing = requirements.requirement_packages(spark.createDataFrame([("p", "a.txt"), ("p", "e.txt")], "project string, path string"), files)
     assert sorted(r.name for r in packages.collect()) == ["x", "y", "z"] and missing.count() == 0
     assert sorted(r.path for df in cut for r in df.select("path").collect()) == ["a.txt", "b.txt", "c.txt", "e.txt"]
+
+
+def test_tree_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    spark.sql("SELECT 1 AS n_nationkey").write.parquet(str(tmp_path / "nation.parquet"))
+    spark.sql("SELECT 1L AS s_suppkey, 1 AS s_nationkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.sql("SELECT 1L AS p_partkey, 1 AS p_size").write.parquet(str(tmp_path / "part.parquet"))
+    spark.range(400).selectExpr("id AS c_custkey", "1 AS c_nationkey", "'c' AS c_name").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    tasks = []
+    real = folders.write_tree
+
+    def write(files, root):
+        tasks.append(files.where("path LIKE '%__init__.py'").select(F.spark_partition_id()).distinct().count())
+        real(files, root)
+
+    monkeypatch.setattr(folders, "write_tree", write)
+    assert folders.folder_scan(spark, str(tmp_path)).where("what = 'source'").count() == 200
+    assert tasks[0] > 1
