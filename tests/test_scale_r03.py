@@ -52,15 +52,15 @@ def test_dependency_facts_are_read_once(spark):
 
 def test_direct_packages_without_a_key(spark):
     packages = spark.createDataFrame(
-        [("p", "a", False), ("p", "b", False), ("p", None, False), ("q", "a", True), ("q", "b", False), ("q", None, False), (None, "a", False), ("r", "a", False), ("r", "b", False), ("r", None, False), ("p", "a", False)],
+        [("p", "a", False), ("p", "b", False), ("p", None, False), ("q", "a", True), ("q", "b", False), ("q", None, False), (None, "a", False), ("r", "a", False), ("r", "b", False), ("r", None, False), ("p", "a", False), ("s", "a", None), ("s", "b", None), ("q", "c", None)],
         "project string, name string, direct boolean",
     )
     edges = spark.createDataFrame([("p", "a", "b"), ("q", "a", "b"), (None, "a", "a")], "project string, src string, dst string")
     declared = spark.createDataFrame([("r", "b")], "project string, name string")
-    got = sorted((str(r.project), str(r.name), r.direct) for r in manifests.mark_direct(packages, edges, declared).collect())
-    assert got == sorted([
+    got = sorted((str(r.project), str(r.name), str(r.direct)) for r in manifests.mark_direct(packages, edges, declared).collect())
+    assert got == sorted((p, n, str(d)) for p, n, d in [
         ("p", "a", True), ("p", "a", True), ("p", "b", False), ("p", "None", True), ("q", "a", True), ("q", "b", False), ("q", "None", False),
-        ("None", "a", True), ("r", "a", False), ("r", "b", True), ("r", "None", False),
+        ("None", "a", True), ("r", "a", False), ("r", "b", True), ("r", "None", False), ("s", "a", True), ("s", "b", True), ("q", "c", None),
     ])
 
 
