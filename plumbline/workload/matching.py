@@ -141,9 +141,10 @@ def fixed_versions(spark: SparkSession, sf: str) -> DataFrame:
     """Per package and installed version: all newer fixes of its advisories."""
     i = c.installs(spark, sf)
     index = materialize(matching.advisory_index(c.advisories(spark, sf)), "index")
-    hits = matching.match_versions(i, index)
-    fixes = hits.select("name", "version", F.explode("fixed_versions").alias("fix")).distinct()
-    keyed = fixes.withColumn("k", versions.version_key(F.col("fix")))
+    # The fixes come with the keys they were compared by; none is parsed again for a hit.
+    hits = matching.match_versions(i, index, keyed_fixes=True)
+    fixes = hits.select("name", "version", F.explode("fixes").alias("f"))
+    keyed = fixes.select("name", "version", F.col("f.version").alias("fix"), "f.k").distinct()
     return keyed.groupBy("name", "version").agg(
         F.count("*").alias("n_fixes"),
         F.min_by("fix", F.struct("k", "fix")).alias("first_fix"),

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import diff, supply_chain
+from plumbline.operators import diff, matching, supply_chain
 from plumbline.plans.project import facts_or_errors
 from plumbline.report import document
+from plumbline.session import materialize
 from plumbline.sources import manifests, requirements
 from plumbline.sources.pyfacts import shared_facts
 from plumbline.workload import coverage, folders
@@ -102,3 +103,22 @@ def test_tree_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(folders, "write_tree", write)
     assert folders.folder_scan(spark, str(tmp_path)).where("what = 'source'").count() == 200
     assert tasks[0] > 1
+
+
+def test_versions_are_parsed_where_an_advisory_names_the_package(spark):
+    events = [[{"introduced": "1"}, {"fixed": "2.0"}, {"introduced": "3"}, {"last_affected": "3.5"}]]
+    entry = ("pypi", "a", ["9!bad~", "7"], [{"type": "ECOSYSTEM", "events": e} for e in events], ["s", "r", "s"])
+    schema = "id string, withdrawn string, affected array<struct<ecosystem:string,name:string,versions:array<string>,ranges:array<struct<type:string,events:array<map<string,string>>>>,symbols:array<string>>>"
+    open_end = ("pypi", "a", [], [{"type": None, "events": [{"introduced": "8"}, {"fixed": "x"}]}], [])
+    index = matching.advisory_index(spark.createDataFrame([("one", None, [entry]), ("two", None, [entry, open_end]), ("gone", "2024", [entry])], schema))
+    texts = ["0.9", "1", "1.9", "2.0", "2.5", "3", "3.5", "3.5.1", "7", "8", "9!bad~", None]
+    installed = spark.createDataFrame([("PyPI", n, v) for n in ("a", "b", None) for v in texts], "ecosystem string, name string, version string")
+    hits = matching.match_versions(installed, materialize(index, "index"), keyed_fixes=True)
+    got = {(r.name, r.vuln_id, r.version, "|".join(r.fixed_versions), "|".join(r.symbols)) for r in hits.collect()}
+    inside = [("1", "2.0"), ("1.9", "2.0"), ("3", ""), ("3.5", ""), ("7", "")]
+    assert got == {("a", a, v, f, "r|s") for a in ("one", "two") for v, f in inside} | {("a", "two", "8", "", "")}
+    assert all([f.version for f in r.fixes] == r.fixed_versions for r in hits.collect())
+    # The key is made above the join that drops the names without an advisory, never below it.
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    below = plan.split("LeftSemi")[1]
+    assert "regexp_replace" in plan and "regexp_replace" not in below
