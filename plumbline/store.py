@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import matching, mining
 from plumbline.operators.enrichment import enrich
 from plumbline.plans.digest import parallel_digest, snapshot_hash
-from plumbline.session import materialize
+from plumbline.session import materialize, materialize_counted, parts_for
 from plumbline.sources import advisories as feeds
-from plumbline.snapshots import Change, Snapshots, Version, buckets_of
+from plumbline.snapshots import Change, Snapshots, Version, bucket_of, buckets_of
 from plumbline.sources.files import is_directory, path_exists, read_whole_files
 from plumbline.sources.pyfacts import source_facts
 from plumbline.sources.tree import read_tree
@@ -20,6 +20,8 @@ from plumbline.sources.tree import read_tree
 MINED = "vuln_id string, ecosystem string, name string, symbol string, qualified string, source string"
 # Names that a lookup hands to the scan as a filter; a longer list is joined.
 LISTED = 1000
+# Records that one task sorts.
+SORTED_ROWS = 1 << 15
 
 
 class AdvisoryStore:
@@ -58,17 +60,20 @@ class AdvisoryStore:
         osv = f"{folder}/osv"
         order = ["path", "block", "line"] if lines else ["path"]
         if is_directory(self.spark, osv):
-            parsed, skipped = feeds.read_osv(self.spark, osv, lines)
-            parsed = materialize(parsed, "osv")
-            n_skipped = skipped.count()
+            bad = Observation()
+            parsed, skipped = feeds.read_osv(self.spark, osv, lines, bad)
+            parsed, n_parsed = materialize_counted(parsed, "osv")
+            n_skipped = skipped.count() if bad.get["texts"] else 0
         else:
             raw = self.spark.createDataFrame([], "path string, content string")
-            parsed, n_skipped, order = feeds.parse_osv(raw, "content", "path"), 0, ["path"]
+            parsed, n_parsed, n_skipped, order = feeds.parse_osv(raw, "content", "path"), 0, 0, ["path"]
         change = self._change()
+        parts = parts_for(self.spark, n_parsed, SORTED_ROWS)
         # Sorted and with Bloom filters, so that lookups of ids and names skip what does not hold them.
-        latest = feeds.latest_records(parsed, *order).repartitionByRange("id").sortWithinPartitions("id")
+        latest = feeds.sorted_latest_records(parsed, *order, parts=parts)
         kept = change.put("advisories", latest, **{"parquet.bloom.filter.enabled#id": "true"})
-        names = affected_names(kept).repartitionByRange("eco", "name").sortWithinPartitions("eco", "name")
+        names = affected_names(kept)
+        names = (names.repartitionByRange(parts, "eco", "name") if parts else names.repartitionByRange("eco", "name")).sortWithinPartitions("eco", "name")
         change.put("names", names, **{"parquet.bloom.filter.enabled#name": "true"})
         gz = f"{folder}/epss.csv.gz"
         epss = gz if path_exists(self.spark, gz) else f"{folder}/epss.csv"
@@ -81,7 +86,7 @@ class AdvisoryStore:
             "synced_at": datetime.now(timezone.utc).isoformat(timespec="seconds"),
             "content_hash": snapshot_hash(parsed),
             "full_hash": "sha256-bag:" + full[:32],
-            "record_count": parsed.count(),
+            "record_count": n_parsed,
             "epss_count": epss.count(),
             "kev_count": kev.count(),
         }
@@ -112,7 +117,9 @@ class AdvisoryStore:
         fresh = materialize(mining.mined_symbols(mined, self.affected_packages(), source), "mined")
         touched = buckets_of(fresh, "vuln_id")
         stored = self.snapshots.read(change.base, "mined", touched)
-        change.put_buckets("mined", mining.replace_mined(stored, fresh), "vuln_id", touched)
+        # Dealt by bucket, so that a bucket is a few files and not one of every task.
+        dealt = mining.replace_mined(stored, fresh).repartition(bucket_of("vuln_id"), F.pmod(F.xxhash64("vuln_id", "name", "symbol", "qualified"), F.lit(8)))
+        change.put_buckets("mined", dealt, "vuln_id", touched)
         change.publish()
         counts = fresh.agg(F.count_distinct("vuln_id").alias("a"), F.count("*").alias("s")).first()
         return counts.a, counts.s
@@ -165,9 +172,10 @@ class AdvisoryStore:
 
 
 def affected_names(advisories: DataFrame) -> DataFrame:
-    """``eco, name, ecosystem, vuln_id`` of every package an advisory names."""
-    named = advisories.select(F.col("id").alias("vuln_id"), F.explode("affected").alias("a"))
-    return named.select(F.lower("a.ecosystem").alias("eco"), "a.name", "a.ecosystem", "vuln_id").distinct()
+    """``eco, name, ecosystem, vuln_id`` of every package an advisory names; ``advisories`` has a row for each id."""
+    package = lambda a: F.struct(F.lower(a["ecosystem"]).alias("eco"), a["name"].alias("name"), a["ecosystem"].alias("ecosystem"))
+    named = advisories.select(F.col("id").alias("vuln_id"), F.explode(F.array_distinct(F.transform("affected", package))).alias("a"))
+    return named.select("a.eco", "a.name", "a.ecosystem", "vuln_id")
 
 
 def _among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
