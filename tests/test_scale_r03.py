@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.operators import diff, matching, supply_chain
+from plumbline.operators.enrichment import enrich
 from plumbline.plans.project import facts_or_errors
 from plumbline.report import document
 from plumbline.session import materialize
 from plumbline.sources import manifests, requirements
+from plumbline.sources.advisories import latest_records, sorted_latest_records
 from plumbline.sources.pyfacts import shared_facts
+from plumbline.store import AdvisoryStore, affected_names
+from plumbline.streaming import feeds
 from plumbline.workload import coverage, folders
 
 
@@ -122,3 +126,54 @@ def test_versions_are_parsed_where_an_advisory_names_the_package(spark):
     plan = hits._jdf.queryExecution().optimizedPlan().toString()
     below = plan.split("LeftSemi")[1]
     assert "regexp_replace" in plan and "regexp_replace" not in below
+
+
+def test_advisories_without_a_cve_are_not_joined(spark):
+    advisories = spark.createDataFrame([("a", ["x"]), ("b", None), ("c", ["cve-1", "CVE-2"]), ("c", ["CVE-9"]), ("CVE-1", [None]), ("d", ["CVE-7"])], "id string, aliases array<string>")
+    epss = spark.createDataFrame([("CVE-1", 0.1, 0.2), ("CVE-2", None, 0.4), (None, 0.5, 0.5)], "cve string, score double, percentile double")
+    kev = spark.createDataFrame([("CVE-1", "2024"), (None, "2023")], "cve string, date_added string")
+    found = enrich(advisories, epss, kev)
+    assert {r.vuln_id: tuple(r)[1:] for r in found.collect()} == {
+        "a": (None, None, False, None, "none"), "b": (None, None, False, None, "none"), "c": (None, 0.4, True, "2024", "seed"),
+        "CVE-1": (0.1, 0.2, True, "2024", "seed"), "d": (None, None, False, None, "none"),
+    }
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and "isnotnull(cve" in plan.split("Join LeftOuter")[-1]
+
+
+def test_a_record_is_moved_once_on_its_way_into_the_store(spark, tmp_path):
+    schema = "path string, ix int, id string, aliases array<string>, affected array<struct<ecosystem:string,name:string>>"
+    rows = [(f"f{n}", 0, f"A-{i:03}", [f"v{n}"], [("PyPI", "x"), ("PyPI", "x"), ("pypi", "x")]) for n in range(3) for i in range(50)]
+    parsed = materialize(spark.createDataFrame(rows, schema), "parsed")
+    latest = sorted_latest_records(parsed, "path", parts=4)
+    assert latest._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    parts = [[r.id for r in p] for p in latest.rdd.glom().collect()]
+    assert len([p for p in parts if p]) > 1 and [i for p in parts for i in p] == sorted({r[2] for r in rows})
+    assert {tuple(r.aliases) for r in latest.collect()} == {("v2",)}
+    named = affected_names(latest)
+    assert "Exchange hashpartitioning" not in named._jdf.queryExecution().executedPlan().toString()
+    assert named.count() == 100 and named.distinct().count() == 100
+
+
+def test_a_bucket_of_mined_symbols_is_few_files(spark, tmp_path):
+    osv = tmp_path / "mirror" / "osv"
+    spark.range(600).selectExpr("""'{"id":"A-' || id || '","affected":[{"package":{"ecosystem":"PyPI","name":"x"}}]}' AS value""").write.text(str(osv))
+    (osv / "bad.txt").write_text("{not json\n")
+    store = AdvisoryStore(spark, str(tmp_path / "store"))
+    assert store.sync(str(tmp_path / "mirror"), lines=True)["skipped_files"] == 1
+    mined = spark.range(600).selectExpr("'A-' || id AS advisory", "'m.f' AS qualified", "'f' AS short").repartition(16)
+    store.add_mined(mined, "patch")
+    store.add_mined(mined, "patch")
+    assert store.table("mined").count() == 1200
+    assert len(store.table("mined").inputFiles()) <= 64 * 2
+
+
+def test_a_drop_is_moved_without_what_matching_does_not_read(spark, tmp_path, monkeypatch):
+    kept = []
+    monkeypatch.setattr(feeds, "latest_records", lambda df, *order: kept.append(df.columns) or latest_records(df, *order))
+    installed = spark.createDataFrame([("p", "PyPI", "x", "1.0"), ("p", "PyPI", "y", "1.0")], "project string, ecosystem string, name string, version string")
+    live = feeds.LiveHits(installed, str(tmp_path / "live"))
+    text = '{"id":"A","summary":"s","affected":[{"package":{"ecosystem":"PyPI","name":"x"},"ranges":[{"type":"ECOSYSTEM","events":[{"introduced":"0"}]}]}]}'
+    live.apply(spark.createDataFrame([(text, "f")], "content string, path string"), 0)
+    assert [tuple(r) for r in live.hits().select("name", "vuln_id").collect()] == [("x", "A")]
+    assert kept == [["path", "line", "ix", "id", "withdrawn", "affected"]]
